@@ -1,8 +1,9 @@
 """Cleaning operators: keep-first dedup, quantity repair, IQR price repair, dates.
 
 All functions are lazy DataFrame -> DataFrame. Statistics that steer a row
-decision (the fence, the replacement price) are one-row DataFrames joined to
-the rows with a broadcast, never values collected to the driver.
+decision (the fence, the replacement price) are one-row aggregates used as
+scalar subqueries: Spark evaluates each once and applies it as a literal; no
+value is collected by this code.
 """
 
 from __future__ import annotations
@@ -119,35 +120,44 @@ def price_stats(products: DataFrame, column: str = "base_price",
     return row.select(*STAT_COLUMNS)
 
 
+def _outlier(column: str, fence) -> Column:
+    v = F.col(column)
+    return F.coalesce(~F.isnan(v) & (v > fence), F.lit(False))
+
+
 def flag_price_outliers(products: DataFrame, column: str = "base_price",
                         stats: DataFrame | None = None,
                         flag: str = "is_outlier", exact: bool = True) -> DataFrame:
     """Add ``flag``: value strictly above the upper fence (no lower fence).
 
-    NULL / NaN values are not outliers. The one-row statistics are broadcast.
+    NULL / NaN values are not outliers. The fence is a scalar subquery over the
+    one-row statistics: Spark computes it once and uses it as a literal, and
+    a projection that does not need ``flag`` drops the whole computation.
     """
     stats = stats if stats is not None else price_stats(products, column, exact)
-    v = F.col(column)
-    out = products.crossJoin(F.broadcast(stats.select("upper_fence")))
-    return (out.withColumn(flag, F.coalesce(~F.isnan(v) & (v > F.col("upper_fence")),
-                                            F.lit(False)))
-            .drop("upper_fence"))
+    fence = stats.select("upper_fence").scalar()
+    return products.withColumn(flag, _outlier(column, fence))
 
 
-def replacement_price(flagged: DataFrame, column: str = "base_price",
-                      flag: str = "is_outlier", exact: bool = True) -> DataFrame:
-    """One row: n_outliers and the median of the non-flagged values (bround 2)."""
+def replacement_price(products: DataFrame, column: str = "base_price",
+                      exact: bool = True) -> DataFrame:
+    """One row: n_outliers and the median of the non-outliers (bround 2)."""
+    fence = price_stats(products, column, exact).select("upper_fence").scalar()
+    flagged = products.select(_outlier(column, fence).alias("_out"), column)
     quant = exact_quantiles if exact else approx_quantiles
-    med = quant(flagged.where(~F.col(flag)), column, [0.5], names=["median"])
-    n = flagged.agg(F.count_if(F.col(flag)).alias("n_outliers"))
-    return n.crossJoin(med).select(
-        "n_outliers", F.bround("median", 2).alias("replacement_price"))
+    med = quant(flagged.where(~F.col("_out")), column, [0.5], names=["median"])
+    return med.select(
+        flagged.agg(F.count_if(F.col("_out"))).scalar().alias("n_outliers"),
+        F.bround("median", 2).alias("replacement_price"))
 
 
 def _with_replacement(products: DataFrame, column: str, exact: bool) -> DataFrame:
-    flagged = flag_price_outliers(products, column, exact=exact)
-    rep = replacement_price(flagged, column, exact=exact)
-    return flagged.crossJoin(F.broadcast(rep.select("replacement_price")))
+    stats = price_stats(products, column, exact)
+    fence = stats.select("upper_fence").scalar()
+    rep = replacement_price(products, column, exact) \
+        .select("replacement_price").scalar()
+    return products.withColumns({"is_outlier": _outlier(column, fence),
+                                 "replacement_price": rep})
 
 
 def cap_price_outliers(products: DataFrame, column: str = "base_price",

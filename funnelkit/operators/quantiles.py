@@ -8,8 +8,9 @@ buffer, which a global quantile over a large table cannot afford. Here:
 2. the distinct values are range-partitioned; each range sorts and sums its
    counts locally (a window partitioned by range id);
 3. per-range totals (one row per range) give each range's offset;
-4. every distinct value now knows its rank interval ``[start, end)``; the few
-   target ranks are matched against it with a tiny broadcast table.
+4. every distinct value now knows its rank interval ``[start, stop)``; the
+   few target ranks (from the value count, a scalar subquery) pick their
+   values in one global aggregate.
 
 The interpolation is the one of pandas / DuckDB ``quantile_cont``: for
 ``pos = (n - 1) p``, ``v[floor] + (v[ceil] - v[floor]) (pos - floor)``.
@@ -40,6 +41,8 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
 
     v = F.col(column).cast("double")
     values = df.select(v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
+    # n as a scalar subquery: one value, computed once, no join needed
+    n = values.agg(F.count(F.lit(1))).scalar()
     counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
 
     ranged = (counts.repartitionByRange(ranges, "v")
@@ -48,45 +51,38 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
         Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("cum", F.sum("cnt").over(in_range))
 
+    # one row per range: its size and the number of values in earlier ranges
     before = Window.orderBy("rid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (local.groupBy("rid").agg(F.max("cum").alias("size"))
                .withColumn("off", F.coalesce(F.sum("size").over(before),
-                                             F.lit(0).cast("bigint"))))
-    n = offsets.agg(F.coalesce(F.sum("size"), F.lit(0).cast("bigint"))
-                    .alias("n"))
+                                             F.lit(0).cast("bigint")))
+               .select("rid", "off"))
+    # ``ranges`` rows: a proven-small broadcast side
+    placed = (local.join(F.broadcast(offsets), "rid")
+              .select("v", (F.col("off") + F.col("cum") - F.col("cnt")).alias("start"),
+                      (F.col("off") + F.col("cum")).alias("stop")))
 
-    # target ranks: for each probability the floor and ceil of (n - 1) p
-    targets = []
+    # target ranks: floor and ceil of (n - 1) p, one row, broadcast
+    cols = []
     for i, p in enumerate(probs):
-        pos = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        targets.append(F.struct(F.lit(i).alias("i"),
-                                F.floor(pos).cast("bigint").alias("lo"),
-                                F.ceil(pos).cast("bigint").alias("hi"),
-                                (pos - F.floor(pos)).alias("frac")))
-    wanted = n.select(F.explode(F.array(*targets)).alias("t")).select("t.*")
-    ranks = wanted.select("i", F.col("lo").alias("r"), F.lit("lo").alias("end")) \
-        .unionByName(wanted.select("i", F.col("hi").alias("r"),
-                                   F.lit("hi").alias("end")))
-
-    placed = (local.join(F.broadcast(offsets.select("rid", "off")), "rid")
-              .select("v", (F.col("off") + F.col("cum") - F.col("cnt"))
-                      .alias("start"),
-                      (F.col("off") + F.col("cum")).alias("stop")))
-    # at most 2 x len(probs) target rows: a proven-small broadcast side
-    hits = placed.join(F.broadcast(ranks),
-                       (F.col("r") >= F.col("start")) & (F.col("r") < F.col("stop")))
-    picked = hits.groupBy().agg(*[
-        F.max(F.when((F.col("i") == i) & (F.col("end") == e), F.col("v")))
-        .alias(f"{e}_{i}") for i in range(len(probs)) for e in ("lo", "hi")])
-    fracs = wanted.groupBy().agg(*[
-        F.max(F.when(F.col("i") == i, F.col("frac"))).alias(f"frac_{i}")
-        for i in range(len(probs))])
-
-    row = picked.crossJoin(fracs)
-    return row.select(*[
-        (F.col(f"lo_{i}") + (F.col(f"hi_{i}") - F.col(f"lo_{i}"))
-         * F.col(f"frac_{i}")).alias(names[i])
-        for i in range(len(probs))])
+        pos = (n - 1).cast("double") * F.lit(float(p))
+        cols += [F.floor(pos).cast("bigint").alias(f"rlo_{i}"),
+                 F.ceil(pos).cast("bigint").alias(f"rhi_{i}"),
+                 (pos - F.floor(pos)).alias(f"frac_{i}")]
+    targets = values.sparkSession.range(1).select(*cols)
+
+    def at(rank: str):
+        inside = (F.col("start") <= F.col(rank)) & (F.col(rank) < F.col("stop"))
+        return F.max(F.when(inside, F.col("v")))
+
+    aggs, outs = [], []
+    for i in range(len(probs)):
+        aggs += [at(f"rlo_{i}").alias(f"lo_{i}"), at(f"rhi_{i}").alias(f"hi_{i}"),
+                 F.max(f"frac_{i}").alias(f"f_{i}")]
+        outs.append((F.col(f"lo_{i}") + (F.col(f"hi_{i}") - F.col(f"lo_{i}"))
+                     * F.col(f"f_{i}")).alias(names[i]))
+    return (placed.crossJoin(F.broadcast(targets)).agg(*aggs)
+            .select(*outs))
 
 
 def approx_quantiles(df: DataFrame, column: str, probs: Sequence[float],
