@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelkit.functions.dates import iso_text, parse_date, parse_timestamp
-from funnelkit.operators.quantiles import approx_quantiles, exact_quantiles
+from funnelkit.operators.quantiles import (approx_quantiles, pick, rank_table,
+                                          targets)
 from funnelkit.sources.schemas import DATE_FORMAT, TIMESTAMP_FORMAT
 
 _RN = "_rn"
@@ -104,20 +105,59 @@ def quantity_audit(df: DataFrame, column: str = "quantity", key: str = "order_id
 # -------------------------------------------------------- price outliers (C7-C10)
 
 STAT_COLUMNS = ("min_price", "q1", "median", "q3", "max_price", "iqr", "upper_fence")
+PARAM_COLUMNS = STAT_COLUMNS + ("n_outliers", "replacement_price")
 
 
-def price_stats(products: DataFrame, column: str = "base_price",
-                exact: bool = True) -> DataFrame:
-    """One row: min, Q1, median, Q3, max, IQR and upper fence Q3 + 1.5 IQR."""
-    quant = exact_quantiles if exact else approx_quantiles
-    qs = quant(products, column, [0.25, 0.5, 0.75], names=["q1", "median", "q3"])
+def outlier_params(products: DataFrame, column: str = "base_price",
+                   exact: bool = True) -> DataFrame:
+    """One row: the IQR statistics, the outlier count and the replacement.
+
+    Exact mode builds one rank table of the values and answers everything from
+    it: the quartiles; the fence; the non-outliers, which are exactly the
+    sorted values up to the fence, i.e. a prefix of the ranks; and the median
+    of that prefix. All intermediate results are one-row DataFrames.
+    """
+    if not exact:
+        return _approx_params(products, column)
+    ranks = rank_table(products, column)
+    summary = ranks.agg(F.coalesce(F.max("stop"), F.lit(0).cast("bigint")).alias("n"),
+                        F.min("v").alias("min_price"), F.max("v").alias("max_price"))
+    probs = [0.25, 0.5, 0.75]
+    qs = pick(ranks, summary.select(*targets(F.col("n"), probs)), probs,
+              ["q1", "median", "q3"])
+    stats = summary.crossJoin(qs).withColumn("iqr", F.col("q3") - F.col("q1"))
+    stats = stats.withColumn("upper_fence", F.col("q3") + F.lit(1.5) * F.col("iqr"))
+    kept = ranks.crossJoin(F.broadcast(stats.select("upper_fence"))).agg(
+        F.coalesce(F.max(F.when(F.col("v") <= F.col("upper_fence"), F.col("stop"))),
+                   F.lit(0).cast("bigint")).alias("m"))
+    rest = pick(ranks, kept.select(*targets(F.col("m"), [0.5])), [0.5], ["rest_median"])
+    return (stats.crossJoin(kept).crossJoin(rest)
+            .withColumn("n_outliers", F.col("n") - F.col("m"))
+            .withColumn("replacement_price", F.bround("rest_median", 2))
+            .select(*PARAM_COLUMNS))
+
+
+def _approx_params(products: DataFrame, column: str) -> DataFrame:
     v = F.col(column).cast("double")
     v = F.when(~F.isnan(v), v)
+    qs = approx_quantiles(products, column, [0.25, 0.5, 0.75], names=["q1", "median", "q3"])
     ext = products.agg(F.min(v).alias("min_price"), F.max(v).alias("max_price"))
-    row = ext.crossJoin(qs).withColumn("iqr", F.col("q3") - F.col("q1"))
-    row = row.withColumn("upper_fence",
-                         F.col("q3") + F.lit(1.5) * F.col("iqr"))
-    return row.select(*STAT_COLUMNS)
+    stats = ext.crossJoin(qs).withColumn("iqr", F.col("q3") - F.col("q1"))
+    stats = stats.withColumn("upper_fence", F.col("q3") + F.lit(1.5) * F.col("iqr"))
+    fence = stats.select("upper_fence").scalar()
+    flagged = products.select(_outlier(column, fence).alias("_out"), column)
+    med = approx_quantiles(flagged.where(~F.col("_out")), column, [0.5],
+                           names=["rest_median"])
+    n_out = flagged.agg(F.count_if(F.col("_out")).alias("n_outliers"))
+    return (stats.crossJoin(n_out).crossJoin(med)
+            .withColumn("replacement_price", F.bround("rest_median", 2))
+            .select(*PARAM_COLUMNS))
+
+
+def price_stats(products: DataFrame, column: str = "base_price",
+                exact: bool = True) -> DataFrame:
+    """One row: min, Q1, median, Q3, max, IQR and upper fence Q3 + 1.5 IQR."""
+    return outlier_params(products, column, exact).select(*STAT_COLUMNS)
 
 
 def _outlier(column: str, fence) -> Column:
@@ -142,22 +182,16 @@ def flag_price_outliers(products: DataFrame, column: str = "base_price",
 def replacement_price(products: DataFrame, column: str = "base_price",
                       exact: bool = True) -> DataFrame:
     """One row: n_outliers and the median of the non-outliers (bround 2)."""
-    fence = price_stats(products, column, exact).select("upper_fence").scalar()
-    flagged = products.select(_outlier(column, fence).alias("_out"), column)
-    quant = exact_quantiles if exact else approx_quantiles
-    med = quant(flagged.where(~F.col("_out")), column, [0.5], names=["median"])
-    return med.select(
-        flagged.agg(F.count_if(F.col("_out"))).scalar().alias("n_outliers"),
-        F.bround("median", 2).alias("replacement_price"))
+    return outlier_params(products, column, exact).select(
+        "n_outliers", "replacement_price")
 
 
 def _with_replacement(products: DataFrame, column: str, exact: bool) -> DataFrame:
-    stats = price_stats(products, column, exact)
-    fence = stats.select("upper_fence").scalar()
-    rep = replacement_price(products, column, exact) \
-        .select("replacement_price").scalar()
-    return products.withColumns({"is_outlier": _outlier(column, fence),
-                                 "replacement_price": rep})
+    params = outlier_params(products, column, exact).select(
+        F.struct("upper_fence", "replacement_price").alias("p")).scalar()
+    return products.withColumns({
+        "is_outlier": _outlier(column, params.getField("upper_fence")),
+        "replacement_price": params.getField("replacement_price")})
 
 
 def cap_price_outliers(products: DataFrame, column: str = "base_price",

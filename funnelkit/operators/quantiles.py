@@ -8,12 +8,14 @@ buffer, which a global quantile over a large table cannot afford. Here:
 2. the distinct values are range-partitioned; each range sorts and sums its
    counts locally (a window partitioned by range id);
 3. per-range totals (one row per range) give each range's offset;
-4. every distinct value now knows its rank interval ``[start, stop)``; the
-   few target ranks (from the value count, a scalar subquery) pick their
-   values in one global aggregate.
-
-The interpolation is the one of pandas / DuckDB ``quantile_cont``: for
-``pos = (n - 1) p``, ``v[floor] + (v[ceil] - v[floor]) (pos - floor)``.
+4. every distinct value now knows its rank interval ``[start, stop)``
+   (:func:`rank_table`); target ranks pick their values in one global
+   aggregate against a one-row broadcast of the targets (:func:`pick`).
+
+The rank table answers any number of quantile questions, including quantiles
+of a prefix of the sorted values (all values up to a bound) without a second
+pass. The interpolation is the one of pandas / DuckDB ``quantile_cont``: for
+``pos = (m - 1) p``, ``v[floor] + (v[ceil] - v[floor]) (pos - floor)``.
 NULL and NaN are skipped. An empty input gives NULL quantiles.
 """
 
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelkit.session import shuffle_partitions
@@ -31,18 +33,12 @@ def _name(p: float) -> str:
     return "q_" + format(p, "g").replace(".", "_")
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None,
-                    ranges: int | None = None) -> DataFrame:
-    """One-row DataFrame with one double column per probability."""
-    names = list(names or [_name(p) for p in probs])
-    spark = df.sparkSession
-    ranges = ranges or shuffle_partitions(spark)
-
+def rank_table(df: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
+    """``(v, cnt, start, stop)``: each distinct non-NaN value and its 0-based
+    rank interval among all non-NULL, non-NaN values of ``column``."""
+    ranges = ranges or shuffle_partitions(df.sparkSession)
     v = F.col(column).cast("double")
     values = df.select(v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
-    # n as a scalar subquery: one value, computed once, no join needed
-    n = values.agg(F.count(F.lit(1))).scalar()
     counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
 
     ranged = (counts.repartitionByRange(ranges, "v")
@@ -58,20 +54,28 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
                                              F.lit(0).cast("bigint")))
                .select("rid", "off"))
     # ``ranges`` rows: a proven-small broadcast side
-    placed = (local.join(F.broadcast(offsets), "rid")
-              .select("v", (F.col("off") + F.col("cum") - F.col("cnt")).alias("start"),
-                      (F.col("off") + F.col("cum")).alias("stop")))
+    return (local.join(F.broadcast(offsets), "rid")
+            .select("v", "cnt",
+                    (F.col("off") + F.col("cum") - F.col("cnt")).alias("start"),
+                    (F.col("off") + F.col("cum")).alias("stop")))
+
 
-    # target ranks: floor and ceil of (n - 1) p, one row, broadcast
+def targets(m: Column, probs: Sequence[float]) -> list[Column]:
+    """Columns ``rlo_i, rhi_i, frac_i`` for a population of ``m`` values."""
     cols = []
     for i, p in enumerate(probs):
-        pos = (n - 1).cast("double") * F.lit(float(p))
+        pos = (m - 1).cast("double") * F.lit(float(p))
         cols += [F.floor(pos).cast("bigint").alias(f"rlo_{i}"),
                  F.ceil(pos).cast("bigint").alias(f"rhi_{i}"),
                  (pos - F.floor(pos)).alias(f"frac_{i}")]
-    targets = values.sparkSession.range(1).select(*cols)
+    return cols
 
-    def at(rank: str):
+
+def pick(ranks: DataFrame, target_row: DataFrame, probs: Sequence[float],
+         names: Sequence[str]) -> DataFrame:
+    """One row: the interpolated quantiles for the targets of ``target_row``
+    (a one-row DataFrame made with :func:`targets`)."""
+    def at(rank: str) -> Column:
         inside = (F.col("start") <= F.col(rank)) & (F.col(rank) < F.col("stop"))
         return F.max(F.when(inside, F.col("v")))
 
@@ -81,8 +85,18 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
                  F.max(f"frac_{i}").alias(f"f_{i}")]
         outs.append((F.col(f"lo_{i}") + (F.col(f"hi_{i}") - F.col(f"lo_{i}"))
                      * F.col(f"f_{i}")).alias(names[i]))
-    return (placed.crossJoin(F.broadcast(targets)).agg(*aggs)
-            .select(*outs))
+    # the target row is one row: a proven-small broadcast side
+    return ranks.crossJoin(F.broadcast(target_row)).agg(*aggs).select(*outs)
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
+                    names: Sequence[str] | None = None,
+                    ranges: int | None = None) -> DataFrame:
+    """One-row DataFrame with one double column per probability."""
+    names = list(names or [_name(p) for p in probs])
+    ranks = rank_table(df, column, ranges)
+    n = ranks.agg(F.coalesce(F.max("stop"), F.lit(0).cast("bigint")).alias("n"))
+    return pick(ranks, n.select(*targets(F.col("n"), probs)), probs, names)
 
 
 def approx_quantiles(df: DataFrame, column: str, probs: Sequence[float],
