@@ -26,7 +26,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelkit.session import shuffle_partitions
 
 
 def _name(p: float) -> str:
@@ -35,14 +34,19 @@ def _name(p: float) -> str:
 
 def rank_table(df: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
     """``(v, cnt, start, stop)``: each distinct non-NaN value and its 0-based
-    rank interval among all non-NULL, non-NaN values of ``column``."""
-    ranges = ranges or shuffle_partitions(df.sparkSession)
+    rank interval among all non-NULL, non-NaN values of ``column``.
+
+    Without ``ranges`` the range partition count is left to adaptive
+    execution, which may merge small neighbouring ranges; merged ranges stay
+    contiguous, so partition ids keep the value order.
+    """
     v = F.col(column).cast("double")
     values = df.select(v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
     counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
 
-    ranged = (counts.repartitionByRange(ranges, "v")
-              .withColumn("rid", F.spark_partition_id()))
+    ranged = (counts.repartitionByRange(ranges, "v") if ranges
+              else counts.repartitionByRange("v"))
+    ranged = ranged.withColumn("rid", F.spark_partition_id())
     in_range = Window.partitionBy("rid").orderBy("v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("cum", F.sum("cnt").over(in_range))

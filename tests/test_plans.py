@@ -1,5 +1,7 @@
 """Plan-shape checks on the registered queries (no execution needed)."""
 
+import re
+
 import pytest
 
 from __spark_entry__ import queries
@@ -53,3 +55,48 @@ def test_orphan_check_skips_price_statistics(spark):
     orders = fx.raw_orders(spark, SF_SMALL)
     p = plan(quality.orphans(orders, capped, "product_id"))
     assert "Subquery" not in p and "rangepartitioning" not in p
+
+
+_AGG = ("HashAggregate", "SortAggregate", "ObjectHashAggregate")
+
+
+def _nodes(plan_text):
+    """(depth, name) for each operator line of a plan tree string."""
+    out = []
+    for line in plan_text.splitlines():
+        stripped = line.lstrip(" :+-|")
+        if not stripped:
+            continue
+        name = re.match(r"[*()0-9 ]*([A-Za-z]*)", stripped).group(1)
+        out.append((len(line) - len(stripped), name))
+    return out
+
+
+def _raw_rows_into_one_partition(p):
+    """Operators that feed un-aggregated rows into a SinglePartition exchange."""
+    nodes, lines, bad = _nodes(p), p.splitlines(), []
+    lines = [ln for ln in lines if ln.lstrip(" :+-|")]
+    for i, (depth, name) in enumerate(nodes):
+        if name != "Exchange" or "SinglePartition" not in lines[i]:
+            continue
+        for d2, n2 in nodes[i + 1:]:
+            if d2 <= depth or n2 in _AGG or n2 in ("LocalLimit", "TakeOrderedAndProject"):
+                break
+            if n2 in ("FileScan", "Scan", "Range", "Exchange", "BroadcastHashJoin",
+                      "SortMergeJoin"):
+                bad.append(n2)
+                break
+    return bad
+
+
+def test_plan_check_catches_a_global_window_over_rows(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    df = spark.range(10).withColumn("prev", F.lag("id").over(Window.orderBy("id")))
+    assert _raw_rows_into_one_partition(plan(df))
+
+
+def test_single_partition_exchanges_only_see_aggregated_rows(plans):
+    """Windows without PARTITION BY and global aggregates get aggregated rows."""
+    for k, p in plans.items():
+        assert not _raw_rows_into_one_partition(p), k
