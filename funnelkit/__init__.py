@@ -9,7 +9,7 @@ Sub-packages:
 * ``functions`` - Column-level helpers (stages, money, dates, text, segments)
 * ``operators`` - DataFrame -> DataFrame operators (cleaning, quality, metrics,
                   funnel, drop-off, reports, exact quantiles)
-* ``plans``     - composed jobs: the cleaning pipeline, the dashboard, insights
+* ``plans``     - composed jobs: the cleaning job, the dashboard, insights
 * ``streaming`` - micro-batch adapter for the cleaning steps
 """
 
