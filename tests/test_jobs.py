@@ -102,3 +102,51 @@ def test_hot_key_holding_a_third_of_rows(spark):
     assert (d.checkout_initiated, d.purchased) == (len(checkout), len(checkout & bought))
     assert quality.orphans(df, users.where("user_id <> 7"), "user_id").count() == \
         df.where("user_id = 7").count()
+
+
+def test_skewed_product_join_is_split_by_aqe(spark):
+    """With broadcast off, a product holding a third of the purchases is split."""
+    from funnelkit.operators import metrics
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        n = 30000
+        orders = spark.range(n).select(
+            F.col("id").alias("order_id"), (F.col("id") % 100).alias("user_id"),
+            F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 500)
+            .alias("product_id"),
+            F.lit(1).cast("long").alias("quantity"), F.lit("Purchased").alias("order_stage"),
+            F.lit("2024-01-03 00:00:00").cast("timestamp_ntz").alias("order_date"))
+        products = spark.range(500).select(F.col("id").alias("product_id"),
+                                           F.lit(2.0).alias("base_price"))
+        users = spark.range(100).select(F.col("id").alias("user_id"),
+                                        F.lit("EU").alias("region"),
+                                        F.lit("web").alias("channel"))
+        df = metrics.kpi_totals(orders, products, users)
+        r = df.collect()[0]
+        assert (r.total_revenue, r.total_orders) == (2.0 * n, n)
+        final = df._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in final
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def test_approximate_outlier_path(spark):
+    rng = __import__("numpy").random.default_rng(3)
+    vals = [float(v) for v in rng.gamma(2.0, 30.0, 2000).round(2)] + [9000.0, 9500.0]
+    df = spark.createDataFrame([(i, "x", v) for i, v in enumerate(vals)],
+                               "product_id long, product_name string, base_price double")
+    exact = clean.outlier_params(df).collect()[0]
+    approx = clean.outlier_params(df, exact=False).collect()[0]
+    assert abs(approx.upper_fence - exact.upper_fence) / exact.upper_fence < 0.05
+    assert approx.n_outliers >= 2
