@@ -5,8 +5,13 @@ buffer, which a global quantile over a large table cannot afford. Here:
 
 1. equal values are counted first (``groupBy(v).count()``, partial aggregation
    map-side), so a value repeated a billion times is one row;
-2. the distinct values are range-partitioned; each range sorts and sums its
-   counts locally (a window partitioned by range id);
+2. the distinct values are range-partitioned and each row is tagged with its
+   range id; this table is written once with ``checkpoint()`` (the shared
+   ``spark.checkpoint.dir``). Range bounds come from sampling, so two separate
+   evaluations of the range shuffle may cut differently; every later step
+   reads the stored ids instead, which keeps them consistent and survives a
+   lost executor. Each range then sums its counts locally (a window
+   partitioned by range id);
 3. per-range totals (one row per range) give each range's offset;
 4. every distinct value now knows its rank interval ``[start, stop)``
    (:func:`rank_table`); target ranks pick their values in one global
@@ -26,6 +31,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from funnelkit.session import ensure_checkpoint_dir
+
 
 
 def _name(p: float) -> str:
@@ -39,14 +46,18 @@ def rank_table(df: DataFrame, column: str, ranges: int | None = None) -> DataFra
     Without ``ranges`` the range partition count is left to adaptive
     execution, which may merge small neighbouring ranges; merged ranges stay
     contiguous, so partition ids keep the value order.
+
+    Eager: writes the tagged distinct values (one job) to the checkpoint
+    folder; the returned DataFrame is lazy from there on.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     v = F.col(column).cast("double")
     values = df.select(v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
     counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
 
     ranged = (counts.repartitionByRange(ranges, "v") if ranges
               else counts.repartitionByRange("v"))
-    ranged = ranged.withColumn("rid", F.spark_partition_id())
+    ranged = ranged.withColumn("rid", F.spark_partition_id()).checkpoint(eager=True)
     in_range = Window.partitionBy("rid").orderBy("v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("cum", F.sum("cnt").over(in_range))
