@@ -20,6 +20,8 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # rank tables are checkpointed per call; drop their files once unreachable
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -49,7 +51,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is. A folder is created here only when nothing is configured, which is the
     case for local test sessions.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # sessions without a local SparkContext (Spark Connect)
+        return spark.conf.get("spark.checkpoint.dir")
     current = sc.getCheckpointDir()
     if not current:
         current = spark.conf.get("spark.checkpoint.dir", None)
