@@ -61,9 +61,18 @@ def validation_report(users: DataFrame, products: DataFrame, orders: DataFrame,
     structure: list[tuple[str, str, Column, bool]] = []
     for table, column in NUMERIC_COLUMNS:
         dtype = tables[table].schema[column].dataType
-        numeric = isinstance(dtype, T.NumericType)
         name = f"{table}.{column}"
-        structure.append(("not_numeric", name, F.lit(0 if numeric else 1), True))
+        if isinstance(dtype, T.NumericType):
+            structure.append(("not_numeric", name, F.lit(0), True))
+        else:
+            # a text column is numeric when every present value parses as one
+            # (as a reader that infers types would see it)
+            bad = f"text_{table}_{column}"
+            c = F.col(column)
+            null_aggs[table].append(
+                F.max(F.when(c.isNotNull() & c.cast("string").try_cast("double").isNull(),
+                             1).otherwise(0)).alias(bad))
+            structure.append(("not_numeric", name, F.coalesce(F.col(bad), F.lit(0)), True))
         alias = f"nulls_{table}_{column}"
         null_aggs[table].append(F.count_if(_missing(column, dtype)).alias(alias))
         structure.append(("null_values", name, F.col(alias), False))

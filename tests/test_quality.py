@@ -57,7 +57,13 @@ def test_validation_flags_non_numeric_column(spark):
     text_q = orders.withColumn("quantity", F.col("quantity").cast("string"))
     rep = {(r.check_name, r.column_name): r.n_issues
            for r in quality.validation_report(users, products, text_q).collect()}
+    assert rep[("not_numeric", "orders.quantity")] == 0  # numeric text only
+    dirty = text_q.withColumn("quantity", F.when(F.col("order_id") == 5, "lots")
+                              .otherwise(F.col("quantity")))
+    rep = {(r.check_name, r.column_name): r.n_issues
+           for r in quality.validation_report(users, products, dirty).collect()}
     assert rep[("not_numeric", "orders.quantity")] == 1
+    assert rep[("total_issues", "all")] == 2 + 1 + 2 + 2 + 2 + 1
 
 
 def test_stage_mix_absent_stage_zero_and_base_all_rows(spark):
