@@ -44,7 +44,15 @@ def _cleaned(spark, sf):
     return clean_orders_plan(fx.raw_orders(spark, sf), ARRIVAL)
 
 
-def _clean_inputs(spark, sf):
+def _op(spark, sf):
+    return fx.clean_orders(spark, sf), fx.clean_products(spark, sf)
+
+
+def _ou(spark, sf):
+    return fx.clean_orders(spark, sf), fx.clean_users(spark, sf)
+
+
+def _opu(spark, sf):
     return (fx.clean_orders(spark, sf), fx.clean_products(spark, sf),
             fx.clean_users(spark, sf))
 
@@ -143,23 +151,23 @@ def clean_orders(spark, sf):
 # ------------------------------------------------------------------ analytics
 
 def weekly_kpis(spark, sf):
-    o, p, _ = _clean_inputs(spark, sf)
+    o, p = _op(spark, sf)
     return metrics.weekly_kpis(o, p).orderBy("year", "week_num")
 
 
 def weekly_kpis_iso(spark, sf):
-    o, p, _ = _clean_inputs(spark, sf)
+    o, p = _op(spark, sf)
     return metrics.weekly_kpis(o, p, iso_year=True).orderBy("year", "week_num")
 
 
 def weekly_growth(spark, sf):
-    o, p, _ = _clean_inputs(spark, sf)
+    o, p = _op(spark, sf)
     return metrics.weekly_growth(metrics.weekly_kpis(o, p)) \
         .orderBy("year", "week_num")
 
 
 def weekly_report(spark, sf):
-    o, p, _ = _clean_inputs(spark, sf)
+    o, p = _op(spark, sf)
     return report.weekly_report(metrics.weekly_growth(metrics.weekly_kpis(o, p)))
 
 
@@ -168,44 +176,44 @@ def funnel_q(spark, sf):
 
 
 def dropoff_q(spark, sf):
-    o, _, u = _clean_inputs(spark, sf)
+    o, u = _ou(spark, sf)
     return dropoff.checkout_dropoff(o, u)
 
 
 def dropoff_ranked(spark, sf):
-    o, _, u = _clean_inputs(spark, sf)
+    o, u = _ou(spark, sf)
     return dropoff.rank_dropoff(dropoff.checkout_dropoff(o, u))
 
 
 def dropoff_report(spark, sf):
-    o, _, u = _clean_inputs(spark, sf)
+    o, u = _ou(spark, sf)
     return dropoff.dropoff_report(dropoff.checkout_dropoff(o, u))
 
 
 def worst_segment(spark, sf):
-    o, _, u = _clean_inputs(spark, sf)
+    o, u = _ou(spark, sf)
     return dropoff.worst_segment(dropoff.checkout_dropoff(o, u))
 
 
 def kpi_totals(spark, sf):
-    o, p, u = _clean_inputs(spark, sf)
+    o, p, u = _opu(spark, sf)
     return metrics.kpi_totals(o, p, u, segment_filter(KPI_REGIONS, []))
 
 
 def weekly_revenue_segment(spark, sf):
-    o, p, u = _clean_inputs(spark, sf)
+    o, p, u = _opu(spark, sf)
     return metrics.weekly_revenue(o, p, u, segment_filter([], TREND_CHANNELS)) \
         .orderBy("year", "week_num")
 
 
 def funnel_segment(spark, sf):
-    o, _, u = _clean_inputs(spark, sf)
+    o, u = _ou(spark, sf)
     return funnel.funnel_segment(o, u, segment_filter(FUNNEL_REGIONS,
                                                       FUNNEL_CHANNELS))
 
 
 def dropoff_segment(spark, sf):
-    o, _, u = _clean_inputs(spark, sf)
+    o, u = _ou(spark, sf)
     return dropoff.dropoff_segment(o, u, segment_filter(DROPOFF_REGIONS, []))
 
 
@@ -214,12 +222,12 @@ def segment_values(spark, sf):
 
 
 def currency_format(spark, sf):
-    o, p, u = _clean_inputs(spark, sf)
+    o, p, u = _opu(spark, sf)
     return report.region_currency(o, p, u).orderBy("region")
 
 
 def segment_report_text(spark, sf):
-    o, _, u = _clean_inputs(spark, sf)
+    o, u = _ou(spark, sf)
     return report.segment_report_text(dropoff.checkout_dropoff(o, u)) \
         .orderBy("region")
 
