@@ -23,11 +23,15 @@ from funnelkit.sources.schemas import (DATE_FORMAT, NUMERIC_COLUMNS, STAGES,
 def orphans(orders: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """Orders whose ``key`` matches no dimension row (NULL keys included).
 
-    A left anti join: with adaptive execution a skewed key on the order side
-    is split across tasks, and a small dimension is broadcast by its measured
-    size.
+    Rows with a NULL key can never match, so they bypass the join instead of
+    being shuffled into one partition. The rest is a left anti join: with
+    adaptive execution a skewed key on the order side is split across tasks,
+    and a small dimension is broadcast by its measured size.
     """
-    return orders.join(dimension.select(key), key, "left_anti")
+    k = F.col(key)
+    keyed = orders.where(k.isNotNull()).join(
+        dimension.select(key).where(F.col(key).isNotNull()), key, "left_anti")
+    return keyed.unionByName(orders.where(k.isNull()).select(*keyed.columns))
 
 
 def unknown_stages(orders: DataFrame, column: str = "order_stage") -> DataFrame:
