@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelkit.functions.dates import iso_text, parse_date, parse_timestamp
-from funnelkit.operators.quantiles import (approx_quantiles, pick, rank_table,
-                                          targets)
+from funnelkit.operators.quantiles import (approx_quantiles, quantile_aggs,
+                                          rank_table)
 from funnelkit.sources.schemas import DATE_FORMAT, TIMESTAMP_FORMAT
 
 _RN = "_rn"
@@ -120,18 +120,20 @@ def outlier_params(products: DataFrame, column: str = "base_price",
     if not exact:
         return _approx_params(products, column)
     ranks = rank_table(products, column)
-    summary = ranks.agg(F.coalesce(F.max("stop"), F.lit(0).cast("bigint")).alias("n"),
-                        F.min("v").alias("min_price"), F.max("v").alias("max_price"))
-    probs = [0.25, 0.5, 0.75]
-    qs = pick(ranks, summary.select(*targets(F.col("n"), probs)), probs,
-              ["q1", "median", "q3"])
-    stats = summary.crossJoin(qs).withColumn("iqr", F.col("q3") - F.col("q1"))
+    aggs, outs = quantile_aggs(F.col("n"), [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    stats = ranks.agg(F.coalesce(F.max("n"), F.lit(0).cast("bigint")).alias("n"),
+                      F.min("v").alias("min_price"), F.max("v").alias("max_price"),
+                      *aggs).select("n", "min_price", "max_price", *outs)
+    stats = stats.withColumn("iqr", F.col("q3") - F.col("q1"))
     stats = stats.withColumn("upper_fence", F.col("q3") + F.lit(1.5) * F.col("iqr"))
+    # one-row sides below: proven-small broadcasts
     kept = ranks.crossJoin(F.broadcast(stats.select("upper_fence"))).agg(
         F.coalesce(F.max(F.when(F.col("v") <= F.col("upper_fence"), F.col("stop"))),
                    F.lit(0).cast("bigint")).alias("m"))
-    rest = pick(ranks, kept.select(*targets(F.col("m"), [0.5])), [0.5], ["rest_median"])
-    return (stats.crossJoin(kept).crossJoin(rest)
+    aggs, outs = quantile_aggs(F.col("m"), [0.5], ["rest_median"])
+    rest = ranks.crossJoin(F.broadcast(kept)).agg(F.max("m").alias("m"), *aggs) \
+        .select("m", *outs)
+    return (stats.crossJoin(rest)
             .withColumn("n_outliers", F.col("n") - F.col("m"))
             .withColumn("replacement_price", F.bround("rest_median", 2))
             .select(*PARAM_COLUMNS))

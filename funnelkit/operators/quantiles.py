@@ -13,9 +13,9 @@ buffer, which a global quantile over a large table cannot afford. Here:
    lost executor. Each range then sums its counts locally (a window
    partitioned by range id);
 3. per-range totals (one row per range) give each range's offset;
-4. every distinct value now knows its rank interval ``[start, stop)``
-   (:func:`rank_table`); target ranks pick their values in one global
-   aggregate against a one-row broadcast of the targets (:func:`pick`).
+4. every distinct value now knows its rank interval ``[start, stop)`` and the
+   total count (:func:`rank_table`); the target ranks pick their values in one
+   global aggregate (:func:`quantile_aggs`).
 
 The rank table answers any number of quantile questions, including quantiles
 of a prefix of the sorted values (all values up to a bound) without a second
@@ -62,46 +62,40 @@ def rank_table(df: DataFrame, column: str, ranges: int | None = None) -> DataFra
         Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("cum", F.sum("cnt").over(in_range))
 
-    # one row per range: its size and the number of values in earlier ranges
+    # one row per range: its size, the number of values in earlier ranges and
+    # the total count n (the same on every row)
     before = Window.orderBy("rid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (local.groupBy("rid").agg(F.max("cum").alias("size"))
                .withColumn("off", F.coalesce(F.sum("size").over(before),
                                              F.lit(0).cast("bigint")))
-               .select("rid", "off"))
+               .withColumn("n", F.sum("size").over(Window.partitionBy()))
+               .select("rid", "off", "n"))
     # ``ranges`` rows: a proven-small broadcast side
     return (local.join(F.broadcast(offsets), "rid")
             .select("v", "cnt",
                     (F.col("off") + F.col("cum") - F.col("cnt")).alias("start"),
-                    (F.col("off") + F.col("cum")).alias("stop")))
+                    (F.col("off") + F.col("cum")).alias("stop"), "n"))
 
 
-def targets(m: Column, probs: Sequence[float]) -> list[Column]:
-    """Columns ``rlo_i, rhi_i, frac_i`` for a population of ``m`` values."""
-    cols = []
+def quantile_aggs(m: Column, probs: Sequence[float],
+                  names: Sequence[str]) -> tuple[list[Column], list[Column]]:
+    """Aggregates over a rank table that pick the ranks of each probability in
+    a population of the first ``m`` values (``m`` is the same on every row),
+    and the columns that interpolate the picked values."""
+    aggs, outs = [], []
     for i, p in enumerate(probs):
         pos = (m - 1).cast("double") * F.lit(float(p))
-        cols += [F.floor(pos).cast("bigint").alias(f"rlo_{i}"),
-                 F.ceil(pos).cast("bigint").alias(f"rhi_{i}"),
-                 (pos - F.floor(pos)).alias(f"frac_{i}")]
-    return cols
-
+        lo, hi = F.floor(pos).cast("bigint"), F.ceil(pos).cast("bigint")
 
-def pick(ranks: DataFrame, target_row: DataFrame, probs: Sequence[float],
-         names: Sequence[str]) -> DataFrame:
-    """One row: the interpolated quantiles for the targets of ``target_row``
-    (a one-row DataFrame made with :func:`targets`)."""
-    def at(rank: str) -> Column:
-        inside = (F.col("start") <= F.col(rank)) & (F.col(rank) < F.col("stop"))
-        return F.max(F.when(inside, F.col("v")))
+        def at(rank: Column) -> Column:
+            inside = (F.col("start") <= rank) & (rank < F.col("stop"))
+            return F.max(F.when(inside, F.col("v")))
 
-    aggs, outs = [], []
-    for i in range(len(probs)):
-        aggs += [at(f"rlo_{i}").alias(f"lo_{i}"), at(f"rhi_{i}").alias(f"hi_{i}"),
-                 F.max(f"frac_{i}").alias(f"f_{i}")]
-        outs.append((F.col(f"lo_{i}") + (F.col(f"hi_{i}") - F.col(f"lo_{i}"))
-                     * F.col(f"f_{i}")).alias(names[i]))
-    # the target row is one row: a proven-small broadcast side
-    return ranks.crossJoin(F.broadcast(target_row)).agg(*aggs).select(*outs)
+        aggs += [at(lo).alias(f"_lo{i}"), at(hi).alias(f"_hi{i}"),
+                 F.max(pos - F.floor(pos)).alias(f"_f{i}")]
+        outs.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
+                     * F.col(f"_f{i}")).alias(names[i]))
+    return aggs, outs
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
@@ -109,9 +103,8 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
                     ranges: int | None = None) -> DataFrame:
     """One-row DataFrame with one double column per probability."""
     names = list(names or [_name(p) for p in probs])
-    ranks = rank_table(df, column, ranges)
-    n = ranks.agg(F.coalesce(F.max("stop"), F.lit(0).cast("bigint")).alias("n"))
-    return pick(ranks, n.select(*targets(F.col("n"), probs)), probs, names)
+    aggs, outs = quantile_aggs(F.col("n"), probs, names)
+    return rank_table(df, column, ranges).agg(*aggs).select(*outs)
 
 
 def approx_quantiles(df: DataFrame, column: str, probs: Sequence[float],
