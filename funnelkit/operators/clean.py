@@ -131,9 +131,9 @@ def outlier_params(products: DataFrame, column: str = "base_price",
         F.coalesce(F.max(F.when(F.col("v") <= F.col("upper_fence"), F.col("stop"))),
                    F.lit(0).cast("bigint")).alias("m"))
     aggs, outs = quantile_aggs(F.col("m"), [0.5], ["rest_median"])
-    rest = ranks.crossJoin(F.broadcast(kept)).agg(F.max("m").alias("m"), *aggs) \
-        .select("m", *outs)
-    return (stats.crossJoin(rest)
+    rest = ranks.crossJoin(F.broadcast(kept)).agg(*aggs).select(*outs)
+    # m comes from its own one-row aggregate: an empty rank table still has m = 0
+    return (stats.crossJoin(kept).crossJoin(rest)
             .withColumn("n_outliers", F.col("n") - F.col("m"))
             .withColumn("replacement_price", F.bround("rest_median", 2))
             .select(*PARAM_COLUMNS))

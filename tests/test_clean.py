@@ -164,3 +164,25 @@ def test_lenient_dates(spark):
     assert str(d[0]) == "2021-02-03" and d[1] is None
     back = clean.normalise_dates(clean.parse_order_dates(df), "order_date")
     assert rows(back)[0] == ("2024-03-10 02:30:00",)
+
+
+@settings(max_examples=6, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.just(float("nan")),
+                          st.integers(1, 500).map(lambda c: c / 4.0),
+                          st.sampled_from([5000.0, 7000.0, 3.0, 3.0])), max_size=50))
+def test_outlier_params_match_pandas(spark, values):
+    df = spark.createDataFrame([(i, "x", v) for i, v in enumerate(values)],
+                               "product_id long, product_name string, base_price double")
+    r = clean.outlier_params(df).collect()[0]
+    s = pd.Series([v for v in values if v is not None], dtype="float64")
+    if s.dropna().empty:
+        assert r.upper_fence is None and r.n_outliers == 0
+        return
+    q1, q3 = s.quantile(0.25), s.quantile(0.75)
+    fence = q3 + 1.5 * (q3 - q1)
+    out = s > fence
+    assert r.upper_fence == pytest.approx(fence)
+    assert r.n_outliers == int(out.sum())
+    rest = s[~out].median()
+    assert r.replacement_price == pytest.approx(round(rest, 2), abs=0.0101)
