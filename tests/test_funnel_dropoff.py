@@ -75,3 +75,33 @@ def test_weekly_report_text(spark):
                      "1L AS total_orders")
     got = rows(report.weekly_report(g), "total_revenue", "prev_week_revenue", "wow_growth")
     assert got == [("$1,234,567.50", "$", "--"), ("$10.00", "$1,234,567.50", "-99.9%")]
+
+
+def _sql_semantics(users, orders, regions=None):
+    """checkout_users DISTINCT (user, region, channel) LEFT JOIN purchasers,
+    both sides restricted by the segment as the dashboard query does."""
+    ok = lambda r: not regions or r in regions
+    checkout = {(u, r, c) for _, u, s in orders if s == "Checkout Initiated"
+                for uu, r, c in users if uu == u and ok(r)}
+    bought = {u for _, u, s in orders if s == "Purchased"
+              for uu, r, _ in users if uu == u and ok(r)}
+    out = {}
+    for u, r, c in checkout:
+        n, p = out.get((r, c), (0, 0))
+        out[(r, c)] = (n + 1, p + (u in bought))
+    return {k: (n, p, n - p) for k, (n, p) in out.items()}
+
+
+def test_dropoff_with_duplicate_dimension_rows(spark):
+    users = [(1, "EU", "web"), (1, "US", "web"), (2, "EU", "ads"), (2, "EU", "ads"),
+             (3, "US", "ads")]
+    orders = [(1, 1, "Checkout Initiated"), (2, 1, "Purchased"), (3, 2, "Checkout Initiated"),
+              (4, 3, "Checkout Initiated"), (5, 3, "Purchased"), (6, 9, "Purchased")]
+    udf = spark.createDataFrame(users, "user_id long, region string, channel string")
+    odf = spark.createDataFrame(orders, ORD)
+    got = {(r.region, r.channel): (r.checkout_initiated, r.purchased, r.dropped_off)
+           for r in dropoff.checkout_dropoff(odf, udf).collect()}
+    assert got == _sql_semantics(users, orders)
+    seg = {(r.region, r.channel): (r.checkouts, r.purchased, r.dropped_off)
+           for r in dropoff.dropoff_segment(odf, udf, segment_filter(["EU"], [])).collect()}
+    assert seg == _sql_semantics(users, orders, ["EU"])
