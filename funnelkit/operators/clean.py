@@ -109,17 +109,21 @@ PARAM_COLUMNS = STAT_COLUMNS + ("n_outliers", "replacement_price")
 
 
 def outlier_params(products: DataFrame, column: str = "base_price",
-                   exact: bool = True) -> DataFrame:
+                   exact: bool = True, ranges: int | None = None) -> DataFrame:
     """One row: the IQR statistics, the outlier count and the replacement.
 
     Exact mode builds one rank table of the values and answers everything from
     it: the quartiles; the fence; the non-outliers, which are exactly the
     sorted values up to the fence, i.e. a prefix of the ranks; and the median
     of that prefix. All intermediate results are one-row DataFrames.
+
+    ``ranges`` sets the number of value ranges of the rank table (default:
+    ``spark.sql.shuffle.partitions``, merged by adaptive execution when small);
+    raise it for columns with billions of distinct values.
     """
     if not exact:
         return _approx_params(products, column)
-    ranks = rank_table(products, column)
+    ranks = rank_table(products, column, ranges)
     aggs, outs = quantile_aggs(F.col("n"), [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     stats = ranks.agg(F.coalesce(F.max("n"), F.lit(0).cast("bigint")).alias("n"),
                       F.min("v").alias("min_price"), F.max("v").alias("max_price"),
