@@ -150,3 +150,14 @@ def test_approximate_outlier_path(spark):
     approx = clean.outlier_params(df, exact=False).collect()[0]
     assert abs(approx.upper_fence - exact.upper_fence) / exact.upper_fence < 0.05
     assert approx.n_outliers >= 2
+
+
+def test_cleaning_job_csv_output_reads_back(spark, tmp_path):
+    paths = _raw_files(tmp_path)
+    pq = run_cleaning(spark, paths, str(tmp_path / "clean_pq"))
+    csv = run_cleaning(spark, paths, str(tmp_path / "clean_csv"), out_fmt="csv")
+    a = files.read_tables(spark, pq, fmt="parquet", raw=False)
+    b = files.read_tables(spark, csv, fmt="csv", raw=False)
+    for name in ("users", "products", "orders"):
+        assert a[name].schema == b[name].schema
+        assert sorted(rows(a[name]), key=str) == sorted(rows(b[name]), key=str)
