@@ -25,9 +25,14 @@ def integer_text(value: str | Column) -> Column:
     return F.format_number(_col(value), 0)
 
 
-def pct_text(value: str | Column) -> Column:
-    """``12.3%``; NULL prints as ``%`` alone."""
-    return concat_text(_col(value).cast("string"), F.lit("%"))
+def pct_text(value: str | Column, decimals: int = 1) -> Column:
+    """``12.3%`` for a value rounded to ``decimals``; NULL prints as ``%`` alone.
+
+    Plain positional digits at every magnitude (a cast would print 1.0E7).
+    """
+    value = _col(value)
+    digits = F.when(value.isNotNull(), F.format_string(f"%.{decimals}f", value))
+    return concat_text(digits, F.lit("%"))
 
 
 def cell_text(value: str | Column, numeric: bool = False) -> Column:

@@ -105,3 +105,12 @@ def test_dropoff_with_duplicate_dimension_rows(spark):
     seg = {(r.region, r.channel): (r.checkouts, r.purchased, r.dropped_off)
            for r in dropoff.dropoff_segment(odf, udf, segment_filter(["EU"], [])).collect()}
     assert seg == _sql_semantics(users, orders, ["EU"])
+
+
+def test_percent_text_stays_positional(spark):
+    from pyspark.sql import functions as F
+
+    from funnelkit.functions.text import pct_text
+    df = spark.createDataFrame([(12345678.9,), (21.8,), (None,), (100.0,)], "x double")
+    assert [r[0] for r in df.select(pct_text(F.col("x"))).collect()] == \
+        ["12345678.9%", "21.8%", "%", "100.0%"]
