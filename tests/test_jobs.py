@@ -161,3 +161,14 @@ def test_cleaning_job_csv_output_reads_back(spark, tmp_path):
     for name in ("users", "products", "orders"):
         assert a[name].schema == b[name].schema
         assert sorted(rows(a[name]), key=str) == sorted(rows(b[name]), key=str)
+
+
+def test_arrival_order_across_files(spark, tmp_path):
+    d = tmp_path / "multi"
+    first = spark.createDataFrame([(1, 10), (2, 20)], "order_id long, user_id long")
+    second = spark.createDataFrame([(1, 99), (3, 30)], "order_id long, user_id long")
+    first.coalesce(1).write.parquet(str(d / "part=a"))
+    second.coalesce(1).write.parquet(str(d / "part=b"))
+    df = files.with_arrival_order(spark.read.parquet(str(d)), "parquet")
+    kept = clean.deduplicate(df, "order_id", ["_arrival"])
+    assert sorted(rows(kept, "order_id", "user_id")) == [(1, 10), (2, 20), (3, 30)]
