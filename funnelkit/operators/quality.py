@@ -24,7 +24,9 @@ def orphans(orders: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """Orders whose ``key`` matches no dimension row (NULL keys included).
 
     Rows with a NULL key can never match, so they bypass the join instead of
-    being shuffled into one partition. The rest is a left anti join: with
+    being shuffled into one partition. That branch re-reads the input with
+    ``IS NULL`` pushed to the Parquet scan, where row-group null counts skip
+    every group without NULLs. The rest is a left anti join: with
     adaptive execution a skewed key on the order side is split across tasks,
     and a small dimension is broadcast by its measured size.
     """
