@@ -100,3 +100,27 @@ def test_single_partition_exchanges_only_see_aggregated_rows(plans):
     """Windows without PARTITION BY and global aggregates get aggregated rows."""
     for k, p in plans.items():
         assert not _raw_rows_into_one_partition(p), k
+
+
+def test_stage_predicate_pushed_into_parquet_on_cleaned_tables(spark, tmp_path):
+    """On stored cleaned tables the stage filter is a Parquet pushed filter."""
+    import datetime as dt
+
+    from funnelkit.operators import dropoff, metrics
+    orders = spark.createDataFrame(
+        [(1, 1, 1, 2, "Purchased", dt.datetime(2024, 1, 3))],
+        "order_id long, user_id long, product_id long, quantity long, "
+        "order_stage string, order_date timestamp_ntz")
+    products = spark.createDataFrame([(1, "a", 2.0)],
+                                     "product_id long, product_name string, base_price double")
+    users = spark.createDataFrame([(1, "EU", "web")],
+                                  "user_id long, region string, channel string")
+    paths = {}
+    for name, df in (("orders", orders), ("products", products), ("users", users)):
+        paths[name] = str(tmp_path / name)
+        df.write.parquet(paths[name])
+    o, p, u = (spark.read.parquet(paths[n]) for n in ("orders", "products", "users"))
+    kpi = plan(metrics.weekly_kpis(o, p))
+    assert "EqualTo(order_stage,Purchased)" in kpi
+    drop = plan(dropoff.checkout_dropoff(o, u))
+    assert "In(order_stage, [Checkout Initiated,Purchased])" in drop
