@@ -8,7 +8,7 @@ doubles only for output. Prices are taken to the cent; quantities are whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,18 @@ def line_cents(quantity: str | Column, price: str | Column) -> Column:
     return _col(quantity).cast("bigint") * cents(price)
 
 
+def sum_cents(df: DataFrame, column: str | Column) -> Column:
+    """SUM of cents that never wraps around.
+
+    Under ANSI mode (the Spark 4 default) a bigint sum fails on overflow, so
+    the cheap bigint aggregate is used; otherwise the sum runs on
+    decimal(38,0), which cannot overflow for any realistic revenue.
+    """
+    ansi = df.sparkSession.conf.get("spark.sql.ansi.enabled", "true").lower() == "true"
+    c = _col(column)
+    return F.sum(c) if ansi else F.sum(c.cast("decimal(38,0)"))
+
+
 def money_from_cents(total_cents: str | Column) -> Column:
     """Cents back to a currency amount (double)."""
     return _col(total_cents).cast("double") / F.lit(100.0)

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelkit.functions.money import aov_from_cents, line_cents, money_from_cents
+from funnelkit.functions.money import (aov_from_cents, line_cents, money_from_cents,
+                                       sum_cents)
 from funnelkit.sources.schemas import PURCHASED
 
 
@@ -55,7 +56,7 @@ def weekly_kpis(orders: DataFrame, products: DataFrame, iso_year: bool = False,
         F.min(day).alias("week_start"),
         F.max(day).alias("week_end"),
         F.count_distinct("order_id").alias("total_orders"),
-        F.sum("_cents").alias("_cents"))
+        sum_cents(lines, "_cents").alias("_cents"))
     return agg.select(
         "year", "week_num", "week_start", "week_end", "total_orders",
         money_from_cents("_cents").alias("total_revenue"),
@@ -82,7 +83,7 @@ def kpi_totals(orders: DataFrame, products: DataFrame, users: DataFrame,
     Zero instead of NULL when nothing matches; AOV is not rounded.
     """
     lines = purchased_lines(orders, products, users, segment)
-    agg = lines.agg(F.sum("_cents").alias("_cents"),
+    agg = lines.agg(sum_cents(lines, "_cents").alias("_cents"),
                     F.count_distinct("order_id").alias("total_orders"))
     revenue = F.coalesce(money_from_cents("_cents"), F.lit(0.0))
     return agg.select(
@@ -99,7 +100,7 @@ def weekly_revenue(orders: DataFrame, products: DataFrame, users: DataFrame,
     year, week = _week_keys(False)
     agg = lines.groupBy(year, week).agg(
         F.min(F.to_date("order_date")).alias("week_start"),
-        F.sum("_cents").alias("_cents"))
+        sum_cents(lines, "_cents").alias("_cents"))
     return agg.select("year", "week_num", "week_start",
                       money_from_cents("_cents").alias("revenue"),
                       F.col("week_start").cast("string").alias("week_label"))
