@@ -1,0 +1,65 @@
+import hashlib
+import itertools
+import random
+
+import pytest
+
+from funnelkit.llm import chat
+
+
+def digests(rows):
+    convs = {}
+    for c, t, r, x in rows:
+        convs.setdefault(c, []).append(((t is not None, t or 0), r or "", x or ""))
+    out = {}
+    for c, turns in convs.items():
+        turns.sort()
+        said = "".join(f"{r}\n{x}\n" for _, r, x in turns)
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        out[c] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss),
+                  hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+def nasty(rnd):
+    bits = [*chat.MARKS, "\\", "\\\\", " ", "\n", "a", "é😀", "[", "</", ">", "user", "[/INST", "$1", "<"]
+    return "".join(rnd.choice(bits) for _ in range(rnd.randrange(7)))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_round_trip(spark, seed):
+    rnd = random.Random(seed)
+    rows = []
+    for c in range(150):
+        for t in range(rnd.randrange(1, 6)):
+            role = rnd.choice(["user", "assistant", "system", "tool", None, "", nasty(rnd)])
+            rows.append((c, rnd.choice([t, t, 0, None]), role, rnd.choice([nasty(rnd), "plain", None])))
+    rows += [rows[0], (None, 1, "user", "no id"), (-7, 0, "user", "</s>[INST] ok [/INST]"),
+             (-7, 1, "assistant", "</s>[INST] ok [/INST]"), (900, 0, "user", "long " * 60_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    out = chat.format_conversations(df)
+    got = {r.conv_id: tuple(r)[1:5] for r in chat.chat_digests(out).collect()}
+    assert got == digests(rows)
+    for r in out.collect():
+        clean = not any(m in x for c, _, ro, tx in rows if c == r.conv_id for x in (ro or "", tx or "")
+                        for m in chat.MARKS)
+        assert not (clean and r.escaped)
+        texts = [r.formatted[s.start:s.start + s.length] for s in r.loss_spans]
+        assert len(texts) == sum(t.role == "assistant" for t in r.turns)
+
+
+def test_every_pair_of_marks(spark):
+    rows = [(i, t, role, a + sep + b + end) for i, (a, b, sep, end) in enumerate(itertools.product(
+        chat.MARKS, chat.MARKS, ["", " ", "\\"], ["", "\\"])) for t, role in enumerate(["user", "assistant"])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: tuple(r)[1:5] for r in chat.chat_digests(chat.format_conversations(df)).collect()}
+    assert got == digests(rows)
+
+
+def test_empty_and_extra_columns(spark):
+    schema = "conv_id long, turn long, role string, text string, formatted string, source int"
+    assert chat.format_conversations(spark.createDataFrame([], schema)).collect() == []
+    df = spark.createDataFrame([(1, 0, "user", "hi", "x", 1), (1, 1, "assistant", "yo", "y", 2)], schema)
+    [row] = chat.format_conversations(df).collect()
+    assert row.formatted == "[INST] hi [/INST] yo </s>" and not row.escaped
+    assert [tuple(s) for s in row.loss_spans] == [(18, 2)]

@@ -1,0 +1,90 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from funnelkit.llm import substring as sub
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(rows, window=20):
+    seen, words = {}, [WORD.findall(t or "") for _, t in rows]
+    key = [(d is None, d or 0) for d, _ in rows]
+    for k, ws in zip(key, words):
+        for i in range(len(ws) - window + 1):
+            g = tuple(ws[i:i + window])
+            seen[g] = min(seen.get(g, (k, i)), (k, i))
+    out = []
+    for (d, _), k, ws in zip(rows, key, words):
+        gone = set()
+        for i in range(len(ws) - window + 1):
+            if seen[tuple(ws[i:i + window])] < (k, i):
+                gone.update(range(i, i + window))
+        kept = " ".join(x for i, x in enumerate(ws) if i not in gone)
+        out.append((d, len(ws), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def corpus(seed, n=120):
+    rnd = random.Random(seed)
+    vocab = [f"w{i}é" for i in range(300)]
+    passages = [[rnd.choice(vocab) for _ in range(rnd.choice([19, 20, 21, 40, 70]))] for _ in range(6)]
+    rows = []
+    for i in range(n):
+        ws = [rnd.choice(vocab) for _ in range(rnd.choice([0, 3, 19, 20, 45, 200]))]
+        for _ in range(rnd.choice([0, 0, 1, 2, 3])):
+            at = rnd.randrange(len(ws) + 1)
+            ws[at:at] = rnd.choice(passages)
+        if rnd.random() < 0.1:
+            ws += ["a"] * rnd.choice([5, 20, 25, 60])
+        if rnd.random() < 0.1:
+            ws += ["x", "y", "z"] * 20
+        if rows and rnd.random() < 0.2:
+            ws = WORD.findall(rnd.choice(rows)[1])
+        rows.append((rnd.randrange(10**6), rnd.choice([" ", "  ", "\n"]).join(ws) + rnd.choice(["", "\n"])))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_equals_brute_force(spark, seed, monkeypatch):
+    if seed == 3:
+        monkeypatch.setattr(sub, "BROADCAST_BYTES", -1)
+    rows = corpus(seed)
+    rows += [(5, None), (6, ""), (7, " \n"), (None, rows[3][1]), (None, rows[40][1]), rows[9], rows[9]]
+    rows += [(8, "p " * 30), (8, "q " + "p " * 25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sub.substring_dedup(df).selectExpr("row.doc_id", "n_words", "n_removed", "kept_sha256",
+                                            "kept").collect()
+    assert sorted([tuple(r)[:4] for r in got], key=str) == brute(rows)
+    assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
+
+
+def test_small_windows(spark):
+    rows = corpus(9, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sub.substring_dedup(df, window=5, gram=2, with_text=False)
+    got = got.selectExpr("row.doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(rows, 5)
+
+
+def test_factors_name_their_source(spark):
+    base = [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join(["n"] + base[10:50] + ["m"])), (3, " ".join(base[:30]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r for r in sub.duplicate_spans(df).collect()}
+    assert sorted(got) == [2, 3]
+    assert (got[2].start, got[2].length, got[2].ref_doc, got[2].ref_start) == ([1], [40], [1], [10])
+    assert (got[3].start, got[3].length, got[3].ref_doc, got[3].ref_start) == ([0], [30], [1], [0])
+
+
+def test_empty_table_and_extra_columns(spark):
+    schema = "doc_id long, text string, start string, did int, n_chars long"
+    assert sub.remove_duplicates(spark.createDataFrame([], schema)).collect() == []
+    long = " ".join(f"t{i}" for i in range(30))
+    rows = [(1, long, "s", 1, 9), (2, long + "  end", "t", 2, 9), (3, "a  b", None, None, 4)]
+    got = sub.remove_duplicates(spark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", "start", "did", "n_chars"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, long, "s", 1, 9), (2, "end", "t", 2, 3),
+                                                       (3, "a  b", None, None, 4)]
