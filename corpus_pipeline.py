@@ -8,10 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from funnelkit.llm.bpe import token_digests
 from funnelkit.llm.mixing import mixed_documents
 from funnelkit.llm.ngram_join import keep_one
 from funnelkit.llm.shared import stage
 from funnelkit.llm.substring import remove_duplicates
+from funnelkit.llm.toxicity import drop_toxic
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the class-conditional models call toxic go."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +36,14 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return mixed_documents(docs)
 
 
-STAGES = [("ngram_jaccard_join", one_of_each_group),
-          ("substring_dedup", cut_repeated_passages), ("source_mix", mix_to_weights)]
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each row's text, encoded and decoded."""
+    return token_digests(docs)
+
+
+STAGES = [("toxicity", reject_toxic), ("ngram_jaccard_join", one_of_each_group),
+          ("substring_dedup", cut_repeated_passages), ("source_mix", mix_to_weights),
+          ("bpe_automaton", tokenize)]
 
 #: no SQL form: the toxicity model and the sampling hashes have none in DuckDB
 ORACLE_SQL = None
