@@ -82,21 +82,25 @@ def parse_piece(piece: Column) -> Column:
     return out
 
 
+def pieces(formatted: Column) -> Column:
+    return F.filter(F.split(formatted, CUT), lambda p: p != "")
+
+
 def _parsed(formatted: Column) -> Column:
-    pieces = F.filter(F.split(formatted, CUT), lambda p: p != "")
-    return F.transform(pieces, lambda p: F.struct(parse_piece(p).alias("turn"),
+    return F.transform(pieces(formatted), lambda p: F.struct(parse_piece(p).alias("turn"),
                                                   F.length(p).alias("width")))
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, formatted, escaped, turns, loss_spans.
+    """One row per conversation: conv_id, formatted, escaped, turns, loss_runs.
 
     ``turns`` has conv_id, turn, role and text (other columns are ignored). Rows
     go by turn (NULL first), then role and text; repeated rows are turns of
     their own. A NULL role or text reads as empty, rows without a conv_id form
     one conversation, an empty table gives none. ``turns`` holds the (role,
-    text) pairs read back from ``formatted``, ``loss_spans`` the (start from 0,
-    length) of each assistant text inside it, in code points.
+    text) pairs read back from ``formatted``. ``loss_runs`` is the loss mask, one
+    (before, length, after) per turn: characters passed over, under the mask (the
+    assistant texts) and passed over again; together they cover the string.
     """
     ordered = (turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -123,26 +127,28 @@ def format_conversations(turns: DataFrame) -> DataFrame:
                            _parsed(F.col("formatted")).alias("parsed"))
     read = F.transform("parsed", lambda p: F.struct(p["turn"]["role"].alias("role"),
                                                     p["turn"]["text"].alias("text")))
-    spots = F.transform("parsed", lambda p, i: F.struct(
-        p["turn"]["role"].alias("role"),
-        (F.aggregate(F.slice("parsed", F.lit(1), i), F.lit(0), lambda a, q: a + q["width"])
-         + p["turn"]["skip"]).alias("start"), p["turn"]["size"].alias("length")))
-    spans = F.transform(F.filter(spots, lambda s: s["role"] == "assistant"),
-                        lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
+    def run(p: Column) -> Column:
+        loss = p["turn"]["role"] == "assistant"
+        before = F.when(loss, p["turn"]["skip"]).otherwise(p["width"])
+        length = F.when(loss, p["turn"]["size"]).otherwise(0)
+        return F.struct(before.alias("before"), length.alias("length"),
+                        (p["width"] - before - length).alias("after"))
+
+    runs = F.transform("parsed", run)
     same = read.eqNullSafe(F.col("wanted"))
     checked = F.when(same, F.col("formatted")).otherwise(F.raise_error(F.concat(
         F.lit("conversation does not read back: "),
         F.coalesce(F.col("conv_id").cast("string"), F.lit("NULL")))).cast("string"))
     return parsed.select("conv_id", checked.alias("formatted"), "escaped", read.alias("turns"),
-                         spans.alias("loss_spans"))
+                         runs.alias("loss_runs"))
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
     """Digests of ``format_conversations`` rows, all read back from the formatted string."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(
         t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(
-        F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    loss = F.array_join(F.zip_with(pieces(F.col("formatted")), "loss_runs", lambda p, r: unescape(
+        F.substring(p, r["before"] + 1, r["length"]))), "")
     return (formatted.withColumn("loss", loss)
             .select("conv_id", F.size("turns").cast("long").alias("n_turns"),
                     F.sha2(said, 256).alias("turns_sha256"),

@@ -290,8 +290,8 @@ OP9_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0
-    AND len(list_filter(embedding, e -> e <> 0)) > 0
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
     ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)

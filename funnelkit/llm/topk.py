@@ -195,9 +195,9 @@ def op4_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), e -> floor(256 * e)) AS x
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda e: floor(256 * e)) AS x
   FROM embeddings WHERE embedding IS NOT NULL
-    AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
   FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0

@@ -44,8 +44,7 @@ def test_round_trip(spark, seed):
         clean = not any(m in x for c, _, ro, tx in rows if c == r.conv_id for x in (ro or "", tx or "")
                         for m in chat.MARKS)
         assert not (clean and r.escaped)
-        texts = [r.formatted[s.start:s.start + s.length] for s in r.loss_spans]
-        assert len(texts) == sum(t.role == "assistant" for t in r.turns)
+        assert sum(sum(x) for x in r.loss_runs) == len(r.formatted) and len(r.loss_runs) == len(r.turns)
 
 
 def test_every_pair_of_marks(spark):
@@ -62,4 +61,4 @@ def test_empty_and_extra_columns(spark):
     df = spark.createDataFrame([(1, 0, "user", "hi", "x", 1), (1, 1, "assistant", "yo", "y", 2)], schema)
     [row] = chat.format_conversations(df).collect()
     assert row.formatted == "[INST] hi [/INST] yo </s>" and not row.escaped
-    assert [tuple(s) for s in row.loss_spans] == [(18, 2)]
+    assert [tuple(s) for s in row.loss_runs] == [(17, 0, 0), (1, 2, 5)]
