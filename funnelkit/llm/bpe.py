@@ -41,7 +41,7 @@ from funnelkit.llm import words as w
 Batches = Iterator[pa.RecordBatch]
 START = -1
 #: entries of a task's word and arc tables before they are emptied
-WORDS, ARCS = 1 << 19, 1 << 20
+WORDS, ARCS = 1 << 20, 1 << 20
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 # fixed values: code points that count as white space, and the contractions
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
@@ -82,12 +82,14 @@ class Automaton:
         self.removed: dict[tuple[int, int], int] = {}
         for time, (x, y) in enumerate(merges):
             self._gadget(time, self.ids[x], self.ids[y], self.ids[x + y])
-        self.reach: dict[bytes, int] = {}  # longest token by its first two bytes
-        for label, i in self.ids.items():
-            if i in self.born:
-                head = label[:2]
-                self.reach[head] = max(self.reach.get(head, 1), len(label))
-        self.arcs: dict[tuple[int, int], bool] = {}
+        #: tokens that the automaton has arcs for, and the longest by their first three bytes
+        self.tokens = {label: i for label, i in self.ids.items() if i in self.born}
+        self.reach: dict[bytes, int] = {}
+        for label in self.tokens:
+            for head in (label[:1], label[:2], label[:3]):
+                if len(label) <= 3 or len(head) == 3:
+                    self.reach[head] = max(self.reach.get(head, 1), len(label))
+        self.arcs: dict[int, bool] = {}
 
     def _gadget(self, time: int, x: int, y: int, z: int) -> None:
         if z in self.born:
@@ -100,7 +102,7 @@ class Automaton:
         """Whether the arc ``label`` leaves ``state``."""
         if state == START:
             return True
-        key = (state, label)
+        key = state << 32 | label
         known = self.arcs.get(key)
         if known is None:
             if len(self.arcs) >= ARCS:
@@ -124,18 +126,25 @@ class Automaton:
                 now, label = 3 * b + 2, self.first[label]
 
     def encode_word(self, word: bytes) -> list[int]:
-        whole = self.ids.get(word)
-        if whole is not None and whole in self.born:
+        tokens, reach, arcs = self.tokens, self.reach, self.arcs
+        whole = tokens.get(word)
+        if whole is not None:
             return [whole]
         n = len(word)
         last = [START] * (n + 1)
         for j in range(n):
             state = last[j]
-            for i in range(j + 1, min(n, j + self.reach.get(word[j:j + 2], 1)) + 1):
-                if last[i] == START:
-                    label = self.ids.get(word[j:i])
-                    if label is not None and label in self.born and self.arc(state, label):
-                        last[i] = label
+            row = state << 32
+            far = j + reach.get(word[j:j + 3], 2)
+            for i in range(j + 1, min(n, far) + 1):
+                if last[i] == START:   # the longest last token that fits is the only one
+                    label = tokens.get(word[j:i])
+                    if label is not None:
+                        fits = not j or arcs.get(row | label)
+                        if fits is None:
+                            fits = self.arc(state, label)
+                        if fits:
+                            last[i] = label
         out = []
         while n:
             if last[n] == START:
