@@ -131,6 +131,20 @@ class Automaton:
         if whole is not None:
             return [whole]
         n = len(word)
+        # longest tokens first: if the automaton accepts that path, it is the only one
+        out, at, state = [], 0, START
+        while at < n:
+            end = min(n, at + reach.get(word[at:at + 3], 2))
+            label = tokens.get(word[at:end])
+            while label is None and end > at + 1:
+                end -= 1
+                label = tokens.get(word[at:end])
+            if label is None or (at and not self.arc(state, label)):
+                break
+            out.append(label)
+            at, state = end, label
+        else:
+            return out
         last = [START] * (n + 1)
         for j in range(n):
             state = last[j]
