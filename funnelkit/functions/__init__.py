@@ -1,16 +1,16 @@
 """Column-level helpers: each returns a ``pyspark.sql.Column``."""
 
 from funnelkit.functions.dates import iso_text, parse_date, parse_timestamp
-from funnelkit.functions.money import (aov_from_cents, cents, line_cents,
-                                       money_from_cents)
+from funnelkit.functions.money import (average_order_value, line_amount, money,
+                                       price_amount)
 from funnelkit.functions.segments import segment_filter
 from funnelkit.functions.stages import is_known_stage, stage_order
 from funnelkit.functions.text import (cell_text, concat_text, currency_text,
                                       integer_text, markdown_row, pct_text)
 
 __all__ = [
-    "aov_from_cents", "cell_text", "cents", "concat_text", "currency_text",
-    "integer_text", "is_known_stage", "iso_text", "line_cents", "markdown_row",
-    "money_from_cents", "parse_date", "parse_timestamp", "pct_text",
+    "average_order_value", "cell_text", "concat_text", "currency_text",
+    "integer_text", "is_known_stage", "iso_text", "line_amount", "markdown_row",
+    "money", "price_amount", "parse_date", "parse_timestamp", "pct_text",
     "segment_filter", "stage_order",
 ]

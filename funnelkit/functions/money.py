@@ -1,59 +1,57 @@
-"""Money arithmetic in exact integer cents.
+"""Money arithmetic in exact decimals.
 
-Revenue is summed as a bigint count of cents, so the total does not depend on
-the order in which partitions are added up (a double sum does, in its last
-bits, which then decides ties in later rounding). Amounts are turned back into
-doubles only for output. Prices are taken to the cent; quantities are whole.
+A line is ``quantity x price`` with the price at six decimals; nothing is
+rounded before the sum. Sums of decimals do not depend on the order in which
+partitions are added up, and behave alike with ANSI mode on or off. Amounts are
+turned into doubles, and the average order value is rounded, only for output.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: prices have at most six decimals and are below this bound
+PRICE_LIMIT = 1e12
+#: ten-thousandths of a cent in a cent
+_PER_CENT = 10_000
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def cents(price: str | Column) -> Column:
-    """A price as a whole number of cents (half away from zero)."""
-    return F.round(_col(price) * F.lit(100.0)).cast("bigint")
-
-
-def line_cents(quantity: str | Column, price: str | Column) -> Column:
-    """quantity x price, in cents."""
-    return _col(quantity).cast("bigint") * cents(price)
+def price_amount(price: str | Column) -> Column:
+    """A price as decimal(18,6); NaN is missing, a price that does not fit fails the query."""
+    p = _col(price).cast("double")
+    known = F.when(~F.isnan(p), p)
+    return F.when(F.abs(known) >= PRICE_LIMIT,
+                  F.raise_error(F.lit("price too large")).cast("decimal(18,6)")
+                  ).otherwise(known.cast("decimal(18,6)"))
 
 
-def sum_cents(df: DataFrame, column: str | Column) -> Column:
-    """SUM of cents that never wraps around.
-
-    Under ANSI mode (the Spark 4 default) a bigint sum fails on overflow, so
-    the cheap bigint aggregate is used; otherwise the sum runs on
-    decimal(38,0), which cannot overflow for any realistic revenue.
-    """
-    ansi = df.sparkSession.conf.get("spark.sql.ansi.enabled", "true").lower() == "true"
-    c = _col(column)
-    return F.sum(c) if ansi else F.sum(c.cast("decimal(38,0)"))
+def line_amount(quantity: str | Column, price: str | Column) -> Column:
+    """quantity x price, exact (decimal(38,6)); NULL if either is missing."""
+    return _col(quantity).cast("decimal(19,0)") * price_amount(price)
 
 
-def money_from_cents(total_cents: str | Column) -> Column:
-    """Cents back to a currency amount (double)."""
-    return _col(total_cents).cast("double") / F.lit(100.0)
+def money(total: str | Column) -> Column:
+    """An exact amount as a double."""
+    return _col(total).cast("double")
 
 
-def aov_from_cents(total_cents: str | Column, n: str | Column) -> Column:
+def average_order_value(total: str | Column, n: str | Column) -> Column:
     """ROUND(total / n, 2) with half away from zero, computed exactly.
 
-    ``(2|c| + n) div 2n`` is |c| / n rounded half up, in whole cents. The
-    division is done on decimal(38,0) operands (no bigint overflow for 2|c|)
-    and made exact by subtracting the remainder first. NULL when n <= 0.
+    In millionths ``m``, whole cents are ``(2|m| + u n) div 2 u n`` with ``u``
+    millionths to the cent. The division is made exact by subtracting the
+    remainder first. NULL when n <= 0.
     """
-    c = _col(total_cents).cast("decimal(38,0)")
-    n = _col(n).cast("decimal(38,0)")
-    num = F.lit(2).cast("decimal(38,0)") * F.abs(c) + n
-    den = F.lit(2).cast("decimal(38,0)") * n
-    whole = ((num - num % den) / den).cast("bigint")
-    q = F.when(n > 0, F.signum(c).cast("bigint") * whole)
-    return q.cast("double") / F.lit(100.0)
+    whole = "decimal(38,0)"
+    m = (_col(total).cast("decimal(32,6)") * F.lit(1_000_000).cast("decimal(7,0)")).cast(whole)
+    n = _col(n).cast(whole)
+    den = F.lit(2 * _PER_CENT).cast("decimal(10,0)") * n
+    num = (F.lit(2).cast("decimal(1,0)") * F.abs(m)
+           + F.lit(_PER_CENT).cast("decimal(10,0)") * n)
+    cents = ((num - num % den) / den).cast("bigint")
+    return F.when(n > 0, F.signum(m).cast("bigint") * cents).cast("double") / F.lit(100.0)

@@ -64,7 +64,7 @@ def dedup_audit(df: DataFrame, key: str = "order_id",
                   .orderBy(*order_cols).limit(sample_size))
     arrival = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order_cols)])
     sample = first_dups.agg(F.sort_array(F.collect_list(
-        F.struct(arrival.alias("o"), F.col(key).cast("string").alias("k"))))
+        F.struct(arrival.alias("o"), F.coalesce(F.col(key).cast("string"), F.lit("NULL")).alias("k"))))
         .alias("s")).select(
         F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: x["k"]), ", "),
                  F.lit("]")).alias("sample_duplicate_ids"))
@@ -91,7 +91,7 @@ def quantity_audit(df: DataFrame, column: str = "quantity", key: str = "order_id
         "total_affected", F.col("negative_quantities") + F.col("zero_quantities"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
     arrival = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order_cols)])
-    line = F.concat(F.lit("order_id "), F.col(key).cast("string"), F.lit(": "),
+    line = F.concat(F.lit("order_id "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")), F.lit(": "),
                     q.cast("string"), F.lit(" -> "), F.abs(q).cast("string"))
     sample = (df.where(q < 0).orderBy(*order_cols).limit(sample_size)
               .agg(F.sort_array(F.collect_list(F.struct(arrival.alias("o"),

@@ -29,7 +29,7 @@ def stage_counts(orders: DataFrame, users: DataFrame | None = None,
 
 
 def _ordered() -> Window:
-    return Window.orderBy(F.asc_nulls_last("stage_order"))
+    return Window.orderBy(F.asc_nulls_last("stage_order"), F.asc_nulls_last("order_stage"))
 
 
 def funnel(orders: DataFrame) -> DataFrame:

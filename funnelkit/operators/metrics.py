@@ -1,6 +1,6 @@
 """Revenue metrics: weekly KPIs, week-over-week growth, KPI totals.
 
-Revenue is ``quantity x base_price`` of Purchased orders, summed in cents
+Revenue is ``quantity x base_price`` of Purchased orders, summed exactly
 (see ``functions.money``). The stage filter sits right above the scan, the
 product (and user) joins follow, and the aggregate is partial + final. Windows
 without a partition key only ever run over the aggregated weeks.
@@ -11,26 +11,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelkit.functions.money import (aov_from_cents, line_cents, money_from_cents,
-                                       sum_cents)
+from funnelkit.functions.money import average_order_value, line_amount, money
 from funnelkit.sources.schemas import PURCHASED
 
 
 def purchased_lines(orders: DataFrame, products: DataFrame,
                     users: DataFrame | None = None,
                     segment: Column | None = None) -> DataFrame:
-    """Purchased order rows joined to their product (and user) with line cents.
+    """Purchased order rows joined to their product (and user) with the line amount.
 
     Inner joins: orders of unknown products (or users) leave, as in SQL.
     """
     lines = (orders.where(F.col("order_stage") == PURCHASED)
-             .select("order_id", "user_id", "product_id", "quantity", "order_date")
-             .join(products.select("product_id", "base_price"), "product_id"))
+             .select("order_id", "user_id", "product_id", "quantity", "order_date"))
     if users is not None:
-        lines = lines.join(users.select("user_id", "region", "channel"), "user_id")
-        if segment is not None:
-            lines = lines.where(segment)
-    return lines.withColumn("_cents", line_cents("quantity", "base_price"))
+        # users first: rows outside the segment never reach the product join
+        people = users.select("user_id", "region", "channel")
+        lines = lines.join(people if segment is None else people.where(segment), "user_id")
+    lines = lines.join(products.select("product_id", "base_price"), "product_id")
+    return lines.withColumn("_amount", line_amount("quantity", "base_price"))
 
 
 def _week_keys(iso_year: bool) -> tuple[Column, Column]:
@@ -56,11 +55,11 @@ def weekly_kpis(orders: DataFrame, products: DataFrame, iso_year: bool = False,
         F.min(day).alias("week_start"),
         F.max(day).alias("week_end"),
         F.count_distinct("order_id").alias("total_orders"),
-        sum_cents(lines, "_cents").alias("_cents"))
+        F.sum("_amount").alias("_amount"))
     return agg.select(
         "year", "week_num", "week_start", "week_end", "total_orders",
-        money_from_cents("_cents").alias("total_revenue"),
-        aov_from_cents("_cents", "total_orders").alias("aov"))
+        money("_amount").alias("total_revenue"),
+        average_order_value("_amount", "total_orders").alias("aov"))
 
 
 def weekly_growth(kpis: DataFrame) -> DataFrame:
@@ -83,9 +82,9 @@ def kpi_totals(orders: DataFrame, products: DataFrame, users: DataFrame,
     Zero instead of NULL when nothing matches; AOV is not rounded.
     """
     lines = purchased_lines(orders, products, users, segment)
-    agg = lines.agg(sum_cents(lines, "_cents").alias("_cents"),
+    agg = lines.agg(F.sum("_amount").alias("_amount"),
                     F.count_distinct("order_id").alias("total_orders"))
-    revenue = F.coalesce(money_from_cents("_cents"), F.lit(0.0))
+    revenue = F.coalesce(money("_amount"), F.lit(0.0))
     return agg.select(
         revenue.alias("total_revenue"),
         F.coalesce(F.try_divide(revenue, F.col("total_orders").cast("double")),
@@ -100,7 +99,7 @@ def weekly_revenue(orders: DataFrame, products: DataFrame, users: DataFrame,
     year, week = _week_keys(False)
     agg = lines.groupBy(year, week).agg(
         F.min(F.to_date("order_date")).alias("week_start"),
-        sum_cents(lines, "_cents").alias("_cents"))
+        F.sum("_amount").alias("_amount"))
     return agg.select("year", "week_num", "week_start",
-                      money_from_cents("_cents").alias("revenue"),
+                      money("_amount").alias("revenue"),
                       F.col("week_start").cast("string").alias("week_label"))

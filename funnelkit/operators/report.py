@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from funnelkit.functions.text import (cell_text, currency_text, integer_text,
                                       markdown_row, pct_text)
 from funnelkit.operators.metrics import purchased_lines
-from funnelkit.functions.money import money_from_cents, sum_cents
+from funnelkit.functions.money import money
 
 
 def weekly_report(growth: DataFrame) -> DataFrame:
@@ -39,9 +39,9 @@ def region_currency(orders: DataFrame, products: DataFrame,
     """Revenue, orders and AOV per region as display text (KPI-card style)."""
     lines = purchased_lines(orders, products, users)
     agg = lines.groupBy("region").agg(
-        sum_cents(lines, "_cents").alias("_cents"),
+        F.sum("_amount").alias("_amount"),
         F.count_distinct("order_id").alias("_orders"))
-    revenue = money_from_cents("_cents")
+    revenue = money("_amount")
     aov = F.try_divide(revenue, F.col("_orders").cast("double"))
     return agg.select(
         "region",
