@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def parse_timestamp(text: str | Column, fmt: str = TIMESTAMP_FORMAT) -> Column:
-    """Text -> TIMESTAMP_NTZ; text that does not match ``fmt`` gives NULL.
+def parse_timestamp(text: str | Column, fmt: str | Sequence[str] = TIMESTAMP_FORMAT) -> Column:
+    """Text -> TIMESTAMP_NTZ; the first layout of ``fmt`` that fits counts, none gives NULL.
 
     ``try_to_timestamp`` decides validity (it never raises); the value comes
     from ``to_timestamp_ntz``, which parses without a time zone, so no value
@@ -21,12 +23,16 @@ def parse_timestamp(text: str | Column, fmt: str = TIMESTAMP_FORMAT) -> Column:
     strict parser from ever seeing invalid text.
     """
     text = _col(text)
-    ok = F.try_to_timestamp(text, F.lit(fmt)).isNotNull()
-    return F.when(ok, F.to_timestamp_ntz(text, F.lit(fmt)))
+
+    def one(layout: str) -> Column:
+        ok = F.try_to_timestamp(text, F.lit(layout)).isNotNull()
+        return F.when(ok, F.to_timestamp_ntz(text, F.lit(layout)))
+
+    return F.coalesce(*map(one, [fmt] if isinstance(fmt, str) else fmt))
 
 
-def parse_date(text: str | Column, fmt: str = DATE_FORMAT) -> Column:
-    """Text -> DATE; text that does not match ``fmt`` gives NULL."""
+def parse_date(text: str | Column, fmt: str | Sequence[str] = DATE_FORMAT) -> Column:
+    """Text -> DATE; the first layout of ``fmt`` that fits counts, none gives NULL."""
     return parse_timestamp(text, fmt).cast("date")
 
 

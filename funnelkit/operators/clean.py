@@ -227,13 +227,13 @@ def price_correction_log(products: DataFrame, column: str = "base_price",
 # ------------------------------------------------------------- dates (C11, C13)
 
 def parse_order_dates(orders: DataFrame, column: str = "order_date",
-                      fmt: str = TIMESTAMP_FORMAT) -> DataFrame:
+                      fmt: str | Sequence[str] = TIMESTAMP_FORMAT) -> DataFrame:
     """Text dates -> TIMESTAMP_NTZ; unparseable text -> NULL."""
     return orders.withColumn(column, parse_timestamp(column, fmt))
 
 
 def parse_signup_dates(users: DataFrame, column: str = "signup_date",
-                       fmt: str = DATE_FORMAT) -> DataFrame:
+                       fmt: str | Sequence[str] = DATE_FORMAT) -> DataFrame:
     """Text dates -> DATE; unparseable text -> NULL."""
     return users.withColumn(column, parse_date(column, fmt))
 

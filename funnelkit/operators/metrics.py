@@ -24,11 +24,15 @@ def purchased_lines(orders: DataFrame, products: DataFrame,
     """
     lines = (orders.where(F.col("order_stage") == PURCHASED)
              .select("order_id", "user_id", "product_id", "quantity", "order_date"))
+    joins = [(products.select("product_id", "base_price"), "product_id")]
     if users is not None:
-        # users first: rows outside the segment never reach the product join
         people = users.select("user_id", "region", "channel")
-        lines = lines.join(people if segment is None else people.where(segment), "user_id")
-    lines = lines.join(products.select("product_id", "base_price"), "product_id")
+        if segment is None:
+            joins.append((people, "user_id"))
+        else:  # users first: rows outside the segment never reach the product join
+            joins.insert(0, (people.where(segment), "user_id"))
+    for side, key in joins:
+        lines = lines.join(side, key)
     return lines.withColumn("_amount", line_amount("quantity", "base_price"))
 
 

@@ -3,9 +3,9 @@
 The validation report is a DataFrame ``(check_name, column_name, n_issues,
 counted)``. ``counted`` marks the rows that add to the issue total (NULL counts
 are shown but, as in the source application, not added). Each table feeds one
-aggregate, the one-row results are cross-joined (all sides are one row) and
-turned into rows with ``inline``: each input is scanned once per check group,
-never collected.
+aggregate of its row-local checks; the orphan and stage checks read the orders
+again. The one-row results are cross-joined and turned into rows with
+``inline``; nothing is collected.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from funnelkit.functions.dates import parse_date, parse_timestamp
-from funnelkit.functions.stages import is_known_stage, stage_order
-from funnelkit.sources.schemas import (DATE_FORMAT, NUMERIC_COLUMNS, STAGES,
+from funnelkit.functions.stages import is_known_stage
+from funnelkit.sources.schemas import (BAD, DATE_FORMAT, NUMERIC_COLUMNS, STAGES,
                                        TIMESTAMP_FORMAT)
 
 
@@ -68,7 +68,13 @@ def validation_report(users: DataFrame, products: DataFrame, orders: DataFrame,
     for table, column in NUMERIC_COLUMNS:
         dtype = tables[table].schema[column].dataType
         name = f"{table}.{column}"
-        if isinstance(dtype, T.NumericType):
+        if BAD in tables[table].columns:   # text that the CSV reader could not convert
+            bad = f"text_{table}_{column}"
+            null_aggs[table].append(F.max(F.when(
+                F.col(BAD).isNotNull() & F.map_contains_key(F.coalesce(
+                    F.col(BAD), F.create_map(F.lit(""), F.lit(""))), column), 1).otherwise(0)).alias(bad))
+            structure.append(("not_numeric", name, F.coalesce(F.col(bad), F.lit(0)), True))
+        elif isinstance(dtype, T.NumericType):
             structure.append(("not_numeric", name, F.lit(0), True))
         else:
             # a text column is numeric when every present value parses as one
@@ -139,4 +145,4 @@ def stage_mix(orders: DataFrame, column: str = "order_stage") -> DataFrame:
 
 
 __all__ = ["orphans", "unknown_stages", "validation_report", "orders_profile",
-           "stage_mix", "stage_order"]
+           "stage_mix"]

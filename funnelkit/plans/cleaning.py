@@ -1,8 +1,8 @@
-"""The cleaning job: dedup -> quantity repair -> price repair -> dates -> write.
+"""The cleaning job: dedup -> quantity repair -> price repair -> dates -> write -> validate.
 
-``clean_tables`` only builds plans; ``run_cleaning`` reads, cleans and writes,
-which is where Spark executes. The three outputs are independent plans, so a
-lost executor only recomputes the partitions of the write that lost them.
+``clean_tables`` builds the plans; for exact price statistics it also writes one
+rank table of the distinct prices to the checkpoint folder. ``run_cleaning``
+reads, cleans and writes, then reads the stored tables for the reports.
 """
 
 from __future__ import annotations
@@ -11,17 +11,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from funnelkit.operators.clean import (cap_price_outliers, deduplicate,
+from funnelkit.operators.clean import (cap_price_outliers, dedup_audit, deduplicate,
                                        fix_quantities, parse_order_dates,
-                                       parse_signup_dates)
+                                       parse_signup_dates, price_correction_log,
+                                       quantity_audit)
+from funnelkit.operators.quality import orders_profile, stage_mix, validation_report
 from funnelkit.sources import files
-from funnelkit.sources.schemas import (CLEAN_ORDERS, DATE_FORMAT,
+from funnelkit.sources.schemas import (BAD, CLEAN_ORDERS, DATE_FORMAT,
                                        TIMESTAMP_FORMAT)
 
 
 def clean_orders(orders: DataFrame,
                  order_by: Sequence[str | Column] = ("_arrival",),
-                 order_fmt: str = TIMESTAMP_FORMAT) -> DataFrame:
+                 order_fmt: str | Sequence[str] = TIMESTAMP_FORMAT) -> DataFrame:
     """Raw orders -> deduplicated, repaired, typed orders (cleaned layout)."""
     out = (orders.transform(lambda d: deduplicate(d, "order_id", order_by))
            .transform(fix_quantities)
@@ -31,8 +33,8 @@ def clean_orders(orders: DataFrame,
 
 def clean_tables(users: DataFrame, products: DataFrame, orders: DataFrame,
                  order_by: Sequence[str | Column] = ("_arrival",),
-                 exact: bool = True, signup_fmt: str = DATE_FORMAT,
-                 order_fmt: str = TIMESTAMP_FORMAT) -> dict[str, DataFrame]:
+                 exact: bool = True, signup_fmt: str | Sequence[str] = DATE_FORMAT,
+                 order_fmt: str | Sequence[str] = TIMESTAMP_FORMAT) -> dict[str, DataFrame]:
     return {
         "users": parse_signup_dates(users, "signup_date", signup_fmt),
         "products": cap_price_outliers(products, exact=exact),
@@ -41,16 +43,40 @@ def clean_tables(users: DataFrame, products: DataFrame, orders: DataFrame,
 
 
 def run_cleaning(spark: SparkSession, inputs: dict[str, str], out_dir: str,
-                 in_fmt: str = "csv", out_fmt: str = "parquet",
-                 exact: bool = True) -> dict[str, str]:
-    """Read the raw tables, clean them and write them under ``out_dir``."""
-    raw = files.read_tables(spark, inputs, fmt=in_fmt, raw=True)
+                 in_fmt: str = "csv", out_fmt: str = "parquet", exact: bool = True,
+                 signup_fmt: str | Sequence[str] = DATE_FORMAT,
+                 order_fmt: str | Sequence[str] = TIMESTAMP_FORMAT) -> dict[str, str]:
+    """Read the raw tables, clean and write them, then validate and audit.
+
+    Writes ``cleaned_<table>`` below ``out_dir`` and, as Parquet, the reports:
+    validation, dedup_audit, quantity_audit, price_corrections, orders_profile
+    and stage_mix. Returns all paths by name.
+    """
+    raw = files.read_tables(spark, inputs, fmt=in_fmt, raw=True, keep_bad=in_fmt == "csv")
     raw["orders"] = files.with_arrival_order(raw["orders"], in_fmt)
-    cleaned = clean_tables(raw["users"], raw["products"], raw["orders"],
-                           exact=exact)
+    tables = {t: df.drop(BAD) for t, df in raw.items()}
+    cleaned = clean_tables(tables["users"], tables["products"], tables["orders"], exact=exact,
+                           signup_fmt=signup_fmt, order_fmt=order_fmt)
     out = {}
     for name, df in cleaned.items():
         path = f"{out_dir.rstrip('/')}/cleaned_{name}"
         files.write_table(df, path, out_fmt)
         out[name] = path
+    stored = files.read_tables(spark, out, fmt=out_fmt, raw=False)
+    kept = deduplicate(raw["orders"], "order_id", ("_arrival",))
+    reports = {
+        # numbers and dates are judged on the text as it came; the price repair changes neither
+        # keys nor which prices are missing
+        "validation": validation_report(raw["users"], raw["products"], fix_quantities(kept),
+                                        signup_fmt, order_fmt),
+        "dedup_audit": dedup_audit(tables["orders"], "order_id", ("_arrival",)),
+        "quantity_audit": quantity_audit(kept, "quantity", "order_id", ("_arrival",)),
+        "price_corrections": price_correction_log(tables["products"], exact=exact),
+        "orders_profile": orders_profile(stored["orders"]),
+        "stage_mix": stage_mix(stored["orders"]),
+    }
+    for name, df in reports.items():
+        out[name] = f"{out_dir.rstrip('/')}/{name}"
+        files.write_table(df, out[name], "parquet")
     return out
+

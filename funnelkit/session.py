@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -48,8 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    is. A folder is created here only when nothing is configured, which is the
-    case for local test sessions.
+    is. Without it a local session gets a folder of its own, with a warning, and
+    a cluster session an error.
     """
     try:
         sc = spark.sparkContext
@@ -59,7 +60,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.conf.get("spark.checkpoint.dir", None)
         if not current:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             current = tempfile.mkdtemp(prefix="funnelkit-ckpt-")
+            warnings.warn(f"spark.checkpoint.dir is not set; using {current}", stacklevel=2)
         sc.setCheckpointDir(current)
         current = sc.getCheckpointDir()
     return current
@@ -71,9 +75,5 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 __all__ = ["CLUSTER_CONF", "build_session", "ensure_checkpoint_dir",
-           "scratch_path", "shuffle_partitions"]
+           "scratch_path"]

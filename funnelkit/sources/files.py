@@ -7,11 +7,13 @@ checks all paths first so the error lists every missing one at once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from funnelkit.functions.dates import parse_date, parse_timestamp
 from funnelkit.sources import schemas
+from funnelkit.sources.schemas import BAD
 
 TABLES = ("users", "products", "orders")
 
@@ -29,17 +31,54 @@ def _missing(spark: SparkSession, paths: list[str]) -> list[str]:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,
              timestamp_format: str = schemas.TIMESTAMP_FORMAT,
-             date_format: str = schemas.DATE_FORMAT) -> DataFrame:
-    return (spark.read.schema(schema)
-            .option("header", True)
-            .option("mode", "PERMISSIVE")
-            .option("timestampNTZFormat", timestamp_format)
-            .option("dateFormat", date_format)
-            .csv(path))
+             date_format: str = schemas.DATE_FORMAT, multiline: bool = True,
+             keep_bad: bool = False) -> DataFrame:
+    """Columns of ``schema`` by header name; a missing one raises, others are ignored.
+
+    Everything is read as text and converted: ``3.0`` is a whole number, NaN is
+    NULL, text that does not convert is NULL. ``keep_bad`` adds ``_bad``, a map
+    from column to such a text (NULL if there is none), which the numeric check
+    of ``validation_report`` counts. Quotes inside quoted fields are doubled, and
+    fields may hold line breaks; ``multiline=False`` gives that up so that one
+    large file can be split among tasks.
+    """
+    text = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+            .option("multiLine", multiline).csv(path))
+    absent = [f.name for f in schema if f.name not in text.columns]
+    if absent:
+        raise ValueError(f"{path}: no column " + ", ".join(absent))
+
+    def value(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        number = F.trim(c).try_cast("double")
+        if isinstance(f.dataType, T.IntegralType):
+            whole = F.when(number == F.floor(number), number.try_cast("bigint"))
+            return F.coalesce(F.trim(c).try_cast("bigint"), whole).cast(f.dataType)
+        if isinstance(f.dataType, T.FractionalType):
+            return F.when(~F.isnan(number), number).cast(f.dataType)
+        if isinstance(f.dataType, T.DateType):
+            return parse_date(c, date_format)
+        if isinstance(f.dataType, T.TimestampNTZType):
+            return parse_timestamp(c, timestamp_format)
+        return c
+
+    def bad(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        wrong = c.isNotNull() & value(f).isNull()
+        if isinstance(f.dataType, T.NumericType):
+            wrong &= ~F.lower(F.trim(c)).isin("nan", "")
+        return F.struct(F.lit(f.name).alias("key"), F.when(wrong, c).alias("value"))
+
+    columns = [value(f).alias(f.name) for f in schema]
+    if keep_bad:
+        found = F.filter(F.array(*map(bad, schema)), lambda e: e["value"].isNotNull())
+        columns.append(F.when(F.size(found) > 0, F.map_from_entries(found)).alias(BAD))
+    return text.select(*columns)
 
 
 def read_tables(spark: SparkSession, paths: dict[str, str],
-                fmt: str = "csv", raw: bool = True) -> dict[str, DataFrame]:
+                fmt: str = "csv", raw: bool = True,
+                keep_bad: bool = False) -> dict[str, DataFrame]:
     """Read users / products / orders; raise one error naming all missing paths."""
     missing = _missing(spark, [paths[t] for t in TABLES])
     if missing:
@@ -50,16 +89,16 @@ def read_tables(spark: SparkSession, paths: dict[str, str],
         "orders": schemas.RAW_ORDERS if raw else schemas.CLEAN_ORDERS,
     }
     if fmt == "csv":
-        return {t: read_csv(spark, paths[t], layout[t]) for t in TABLES}
+        return {t: read_csv(spark, paths[t], layout[t], keep_bad=keep_bad) for t in TABLES}
     return {t: spark.read.schema(layout[t]).parquet(paths[t]) for t in TABLES}
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
-                mode: str = "overwrite") -> None:
-    """Write one table; CSV gets a header row and the ISO date layouts."""
-    writer = df.write.mode(mode)
+                mode: str = "overwrite", partition_by: tuple[str, ...] = ()) -> None:
+    """Write one table; CSV gets a header row, doubled quotes and the ISO date layouts."""
+    writer = df.write.mode(mode).partitionBy(*partition_by)
     if fmt == "csv":
-        (writer.option("header", True)
+        (writer.option("header", True).option("quote", '"').option("escape", '"')
          .option("timestampNTZFormat", schemas.TIMESTAMP_FORMAT)
          .option("dateFormat", schemas.DATE_FORMAT)
          .csv(path))

@@ -12,8 +12,21 @@ CHECKOUT = "Checkout Initiated"
 # Text layouts the cleaned tables are written with.
 DATE_FORMAT = "yyyy-MM-dd"
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+# Columns the validation step requires to be numeric, as (table, column).
+NUMERIC_COLUMNS = (
+    ("users", "user_id"),
+    ("products", "product_id"),
+    ("products", "base_price"),
+    ("orders", "order_id"),
+    ("orders", "user_id"),
+    ("orders", "product_id"),
+    ("orders", "quantity"),
+)
 # ------------------------------------------------------------------------------
 
+# map column of the CSV reader: column name -> text that did not convert
+BAD = "_bad"
+
 RAW_USERS = T.StructType([
     T.StructField("user_id", T.LongType()),
     T.StructField("signup_date", T.StringType()),
@@ -53,14 +66,3 @@ CLEAN_ORDERS = T.StructType([
     T.StructField("order_stage", T.StringType()),
     T.StructField("order_date", T.TimestampNTZType()),
 ])
-
-# Columns the validation step requires to be numeric, as (table, column).
-NUMERIC_COLUMNS = (
-    ("users", "user_id"),
-    ("products", "product_id"),
-    ("products", "base_price"),
-    ("orders", "order_id"),
-    ("orders", "user_id"),
-    ("orders", "product_id"),
-    ("orders", "quantity"),
-)
