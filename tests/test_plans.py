@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+from funnelkit.plans.registry import QUERIES
 from tests.conftest import SF_SMALL
 
 
@@ -14,7 +14,7 @@ def plan(df):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {k: plan(q(spark, SF_SMALL)) for k, q in queries().items()
+    return {k: plan(q(spark, SF_SMALL)) for k, q in QUERIES.items()
             if k != "csv_round_trip"}
 
 
