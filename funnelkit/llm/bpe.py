@@ -28,7 +28,6 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelkit.llm import words as w
+from funnelkit.llm.shared import with_row
 
 Batches = Iterator[pa.RecordBatch]
 START = -1
@@ -312,23 +312,23 @@ class Codec:
         return self.bytes[at].tobytes()
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def _codec(shared) -> Codec:
-    """One codec per Python worker; its tables are kept between tasks."""
-    name, automaton, classes = shared.value
-    if name not in _CODECS:
-        _CODECS.clear()
-        _CODECS[name] = Codec(automaton, classes)
-    return _CODECS[name]
+    """One codec per Python worker; its tables are kept between tasks.
+
+    It hangs on the broadcast value, which a worker drops with its first task
+    that does not use it, so later stages do not carry the tables along.
+    """
+    held = shared.value
+    if "codec" not in held:
+        held["codec"] = Codec(held["automaton"], held["classes"])
+    return held["codec"]
 
 
 def _encode_batches(shared, full: bool) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         codec = _codec(shared)
         for batch in batches:
-            for lo, hi, buf, offsets in w.text_blocks(batch.column("text"), 1 << 20):
+            for lo, hi, buf, offsets in w.text_blocks(w.texts_of(batch), 1 << 20):
                 blobs = codec.encode(buf, offsets)
                 columns = [batch.column("row").slice(lo, hi - lo),
                            pa.array([len(b) // 4 for b in blobs], pa.int64()),
@@ -366,22 +366,24 @@ def _decode_batches(shared) -> Callable[[Batches], Batches]:
 def share_automaton(spark: SparkSession, path: str):
     """Compile once on the driver; the broadcast is bounded by the vocabulary file."""
     return spark.sparkContext.broadcast(
-        (uuid.uuid4().hex, load_automaton(path), character_classes()))
-
-
-def _rows(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(F.struct("*").alias("row"), *more)
+        {"automaton": load_automaton(path), "classes": character_classes()})
 
 
-def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, with_ids: bool = True, keep_text: bool = True
+                     ) -> DataFrame:
     """``row`` (struct of all columns), n_tokens, ids_sha256 and ``ids`` of each ``text``.
 
     Without ``with_ids`` the text is decoded again and ``decoded_sha256`` stands
-    in place of ``ids``. NULL texts are empty and have no tokens. Whole texts are
-    encoded, of any length; strings of added tokens in a text become those
-    tokens. Rows are independent: ties and repeated rows give repeated results.
+    in place of ``ids``; without ``keep_text`` the struct lacks the text. NULL
+    texts are empty and have no tokens. Whole texts are encoded, of any length;
+    strings of added tokens in a text become those tokens. Rows are independent:
+    ties and repeated rows give repeated results.
     """
-    source = _rows(docs, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if keep_text:
+        source = with_row(docs)
+    else:
+        others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+        source = docs.select(others.alias("row"), F.col("text").cast("string").alias("text"))
     kind = source.schema["row"].dataType.simpleString()
     last = "ids array<int>" if with_ids else "decoded_sha256 string"
     return source.mapInArrow(_encode_batches(share_automaton(docs.sparkSession, path), with_ids),
@@ -390,7 +392,8 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
 
 def decode_documents(tokens: DataFrame, path: str) -> DataFrame:
     """``row`` (struct of all columns) and ``decoded`` of each ``ids``; unknown ids are skipped."""
-    source = _rows(tokens, F.col("ids").cast("array<int>").alias("ids"))
+    source = tokens.select(F.struct("*").alias("row"),
+                           F.col("ids").cast("array<int>").alias("ids"))
     kind = source.schema["row"].dataType.simpleString()
     return source.mapInArrow(_decode_batches(share_automaton(tokens.sparkSession, path)),
                              f"row {kind}, decoded string")
@@ -404,7 +407,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 per document."""
     found = encode_documents(docs.select("doc_id", "text"), path or tokenizer_path(),
-                             with_ids=False)
+                             with_ids=False, keep_text=False)
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256",
                         "decoded_sha256")
 

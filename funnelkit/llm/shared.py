@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from funnelkit.session import scratch_path
 
@@ -23,6 +24,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row(docs: DataFrame, *more: Column) -> DataFrame:
+    """``row`` (struct of all columns of ``docs``) and ``more``; whole texts travel once.
+
+    ``text`` is added as a column of its own only where the struct does not hold
+    it as a string (see ``words.texts_of``).
+    """
+    plain = [f for f in docs.schema if f.name == "text" and f.dataType == StringType()]
+    text = [] if len(plain) == 1 else [F.col("text").cast("string").alias("text")]
+    return docs.select(F.struct("*").alias("row"), *more, *text)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions of a wide shuffle: the session's setting, which grows with the cluster."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

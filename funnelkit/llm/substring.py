@@ -27,11 +27,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelkit.llm import words as w
-from funnelkit.llm.shared import shuffle_width, stage
+from funnelkit.llm.shared import shuffle_width, stage, with_row
 
 Batches = Iterator[pa.RecordBatch]
 #: a doc_id that is NULL comes after all others
@@ -259,12 +259,11 @@ def _parse(window: int) -> Callable[[pa.RecordBatch], dict]:
     return fold
 
 
-def _source(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.struct("*").alias("row"),
-                       F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"),
-                       F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("tag"),
-                       text.alias("text"))
+def _names() -> tuple[Column, Column]:
+    """(did, tag): the document of a text, and its CRC-32."""
+    data = F.col("text").cast("string").cast("binary")
+    return (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"),
+            F.coalesce(F.crc32(data), F.lit(0)).alias("tag"))
 
 
 def _attach(texts: DataFrame, table: DataFrame, size: F.Column, how: str) -> DataFrame:
@@ -283,7 +282,7 @@ def duplicate_spans(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFra
     if not 1 <= gram <= window:
         raise ValueError("gram must lie between 1 and window")
     width = shuffle_width(docs.sparkSession)
-    texts = _source(docs).select("did", "tag", "text")
+    texts = docs.select(*_names(), F.col("text").cast("string").alias("text"))
     tag = F.expr("at & 4294967295")
     asked = (texts.mapInArrow(_find_anchors(window, gram), "key long, did long, at long, known int")
              .repartition(width, "key").sortWithinPartitions("key")
@@ -311,7 +310,7 @@ def _cut(with_text: bool) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for batch in batches:
             start, length = batch.column("start"), batch.column("length")
-            for lo, hi, buf, offsets in w.text_blocks(batch.column("text")):
+            for lo, hi, buf, offsets in w.text_blocks(w.texts_of(batch)):
                 starts, ends, first = w.find_words(buf, offsets)
                 edge = np.zeros(len(starts) + 1, dtype=np.int64)
                 part = slice(lo, hi)
@@ -356,10 +355,10 @@ def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 8, with_text:
     """
     factors = duplicate_spans(docs, window, gram).select("id", "mark", "start", "length")
     out = "n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    source = _source(docs)
+    source = with_row(docs, *_names())
     kind = source.schema["row"].dataType.simpleString()
     return (_attach(source, factors, F.size("start") * 16 + 40, "left")
-            .select("row", "text", "start", "length")
+            .drop("did", "tag", "id", "mark")
             .mapInArrow(_cut(with_text), f"row {kind}, {out}"))
 
 

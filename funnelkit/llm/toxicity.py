@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelkit.llm import words as w
-from funnelkit.llm.shared import sized, stage
+from funnelkit.llm.shared import sized, stage, with_row
 
 Batches = Iterator[pa.RecordBatch]
 FOLDS = 5
@@ -214,7 +214,7 @@ def _score(shared) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         model, weights = shared.value
         for batch in batches:
-            for lo, hi, buf, offsets in w.text_blocks(batch.column("text")):
+            for lo, hi, buf, offsets in w.text_blocks(w.texts_of(batch)):
                 x = weights[0] + model.features(buf, offsets) @ weights[1:]
                 score = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
                 part = slice(lo, hi)
@@ -267,7 +267,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         seen.column("toxic").to_numpy()[order].astype(np.float64))
 
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
-    source = docs.select(F.struct("*").alias("row"), held, text)
+    source = with_row(docs, held)
     kind = source.schema["row"].dataType.simpleString()
     return source.mapInArrow(_score(spark.sparkContext.broadcast((final, weights))),
                              f"row {kind}, held_out boolean, score double, predicted int")

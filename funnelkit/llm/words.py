@@ -72,6 +72,13 @@ def string_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nd
     return buf[off[0]:off[-1]], off - off[0]
 
 
+def texts_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch: its column ``text``, else that field of ``row``."""
+    if "text" in batch.schema.names:
+        return batch.column("text")
+    return batch.column("row").field("text")
+
+
 def text_blocks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 21
                 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a column into runs of documents of at most ``limit`` bytes (one at least).
