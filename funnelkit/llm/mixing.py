@@ -15,7 +15,9 @@ No source is sorted as a whole. Ranks fall into about ``sqrt(n)`` ranges per
 source; sums per range find the range in which the words run out. Ranges before
 it enter whole; that one alone (about ``sqrt(n)`` documents) is walked in rank
 order, where a document that no longer fits is passed over for the next that
-does. So the words taken miss the target by less than one small document.
+does. The words still missing then go on through the later ranges in the same
+way, counting only documents that fit, until no later one does. So every
+document left out is longer than the words that the source misses.
 """
 
 from __future__ import annotations
@@ -65,24 +67,78 @@ def _targets(base: DataFrame, weights: tuple[float, ...], cap: float) -> DataFra
                  "targets")
 
 
-def _walk(table: pa.Table) -> pa.Table:
-    """Copies of the documents in the range where a source's words run out."""
+def _take(table: pa.Table) -> tuple[pa.Table, list[int], float]:
+    """(documents of one range in rank order, 1 for those that enter, words still missing)."""
     table = table.sort_by([("rank", "ascending"), ("size", "ascending")])
-    sizes = table.column("size").to_pylist()
     left = table.column("left")[0].as_py()
-    picked = [0] * len(sizes)
-    for i, size in enumerate(sizes):
-        if size <= left:
-            picked[i] = 1
-            left -= size
+    picked = []
+    for size in table.column("size").to_pylist():
+        picked.append(int(size <= left))
+        left -= size * picked[-1]
+    return table, picked, left
+
+
+def _left(table: pa.Table) -> pa.Table:
+    """The step of one source: its range, the words missing before it and after it."""
+    _, _, limit = _take(table)
+    return table.select(["key", "edge", "left"]).slice(0, 1).append_column(
+        "limit", pa.array([limit], pa.float64()))
+
+
+def _walk(table: pa.Table) -> pa.Table:
+    """Copies of the documents in a range where a source's words run out."""
+    table, picked, _ = _take(table)
+    missing = table.column("missing")[0].as_py()  # in the source's last such range, else NULL
+    sizes = table.column("size").to_pylist()
     spare = min((s, i) for i, s in enumerate(sizes) if not picked[i]) if 0 in picked else None
-    if spare and spare[0] - left < left:  # overshooting is nearer
+    if spare and missing is not None and spare[0] - missing < missing:  # overshooting is nearer
         picked[spare[1]] = 1
     copies = [a + b for a, b in zip(table.column("whole").to_pylist(), picked, strict=True)]
     return table.select(["row", "size", "source_size", "target"]).append_column(
         "copies", pa.array(copies, pa.int64()))
 
 
+def _overflow(rows: DataFrame) -> DataFrame:
+    """Per source the first range that the missing words do not cover, and what is left for it."""
+    upto = Window.partitionBy("key").orderBy("cell")
+    return (rows.groupBy("key", "cell")
+            .agg(F.sum("size").alias("words"), F.max("left").alias("left"))
+            .withColumn("through", F.sum("words").over(upto))
+            .where("through > left")
+            .groupBy("key").agg(F.min("cell").alias("edge"),
+                                F.min_by(F.col("left") - F.col("through") + F.col("words"), "cell")
+                                .alias("left")))
+
+
+def _paths(ranked: DataFrame) -> DataFrame:
+    """Per source its ``steps`` by range: edge, words left before it, limit after it, missing.
+
+    Between two edges every document of at most ``limit`` words enters.
+    ``missing`` (last step only) is what the source lacks in the end. Each round
+    keeps only the documents that still fit, seldom more than a few.
+    """
+    rows = stage(ranked.select("key", "cell", "rank", "size", F.col("rest").alias("left")), "ranks")
+    edges = stage(_overflow(rows), "edges")
+    steps = None
+    while steps is None or not edges.isEmpty():
+        step = stage(rows.drop("left").join(edges, "key").where("cell = edge")
+                     .select("key", "edge", "rank", "size", "left").groupBy("key")
+                     .applyInArrow(_left, "key string, edge long, left double, limit double"), "steps")
+        rows = stage(rows.drop("left").join(step.drop("left"), "key")
+                     .where("cell > edge AND size <= limit")
+                     .select("key", "cell", "rank", "size", F.col("limit").alias("left")), "ranks")
+        edges = stage(_overflow(rows), "edges")
+        rest = rows.groupBy("key").agg(F.sum("size").alias("words"))
+        step = (step.join(rest, "key", "left").join(edges.select("key", F.lit(True).alias("more")),
+                                                    "key", "left")
+                .select("key", F.struct("edge", "left", "limit", F.when(
+                    F.col("more").isNull(), F.col("limit") - F.coalesce("words", F.lit(0)))
+                    .alias("missing")).alias("step")))
+        steps = step if steps is None else steps.unionByName(step)
+    return stage(steps.groupBy("key").agg(F.sort_array(F.collect_list("step")).alias("steps")),
+                 "paths")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0,
                 odds: str | None = None, seed: int = 20260101, keep_text: bool = True
                 ) -> DataFrame:
@@ -117,23 +173,19 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: floa
     ranked = (base.drop("source").join(plan, "key")
               .withColumn("rank", F.when(drawn, rank))
               .withColumn("cell", F.floor(F.col("rank") / (1 + F.col("rank")) * cells)))
-    upto = Window.partitionBy("key").orderBy("cell")
-    edge = (ranked.where(drawn).groupBy("key", "cell")
-            .agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
-            .withColumn("through", F.sum("words").over(upto))
-            .where("through > rest")
-            .groupBy("key").agg(F.min("cell").alias("edge"),
-                                F.min_by(F.col("rest") - F.col("through") + F.col("words"), "cell")
-                                .alias("left")))
-    placed = ranked.join(stage(edge, "edges"), "key", "left")
-    at_edge = F.coalesce(F.col("cell") == F.col("edge"), F.lit(False))
-    extra = F.when(F.col("cell") < F.coalesce(F.col("edge"), F.lit(2**62)), 1).otherwise(0)
+    placed = ranked.join(_paths(ranked.where(drawn)), "key", "left").withColumn(
+        "step", F.try_element_at(F.filter("steps", lambda e: e["edge"] <= F.col("cell")),
+                                 F.lit(-1))).drop("steps")
+    at_edge = F.coalesce(F.col("cell") == F.col("step.edge"), F.lit(False))
+    extra = F.when(F.col("cell").isNotNull() & F.coalesce(
+        F.col("size") <= F.col("step.limit"), F.lit(True)), 1).otherwise(0)
     copies = F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0)
     plain = placed.where(~at_edge).select("row", "size", "source_size", "target",
                                           copies.cast("long").alias("copies"))
     walked = (placed.where(at_edge)
-              .select("key", "row", "size", "source_size", "target", "whole", "rank", "left")
-              .groupBy("key").applyInArrow(_walk, plain.schema))
+              .select("key", "cell", "row", "size", "source_size", "target", "whole", "rank",
+                      "step.left", "step.missing")
+              .groupBy("key", "cell").applyInArrow(_walk, plain.schema))
     return plain.union(walked)
 
 

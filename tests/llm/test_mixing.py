@@ -62,6 +62,23 @@ def test_targets_and_words(spark, seed):
     assert sorted(map(str, again)) == sorted(map(str, out))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_words_miss_less_than_the_smallest_left_out(spark, seed):
+    """Also where a very long document lies in the range in which the words run out."""
+    rnd = random.Random(seed)
+    rows = [(i, "w " * (rnd.randrange(2000, 9000) if rnd.random() < 0.15 else rnd.randrange(3, 60)), s)
+            for i in range(150) for s in ("a", "b", "c", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = mixing.mix_sources(df, seed=seed, keep_text=False).collect()
+    for s in "abcd":
+        own = [r for r in out if r.row.source == s]
+        least = min(r.copies for r in own)
+        left_out = [r.size for r in own if r.copies == least]
+        assert max(r.copies for r in own) <= least + 1
+        miss = abs(sum(r.copies * r.size for r in own) - own[0].target)
+        assert miss < max(1, min(left_out)), (s, miss)
+
+
 def test_inclusion_follows_the_odds(spark):
     rows = [(i, "w " * 5, s, 9.0 if i % 2 else 1.0) for i in range(4000) for s in ("a", "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, odds double")
