@@ -12,9 +12,11 @@ its words' log-ratios, and the mean of what exceeds ``EXCESS`` (a few toxic
 expressions in a long ordinary text stand out there). A logistic curve, fitted
 to labelled documents that the models had not seen, turns both into 0 to 1.
 
-All labelled rows outside the held-out fold are counted. Counts live in hash
-buckets of a fixed number, so the broadcast model has a fixed size: words that
-occur at least twice in ``2**WORD_BITS`` buckets, prefixes in ``2**PREFIX_BITS``.
+All labelled rows outside the held-out fold are counted, every word and prefix
+under its full 64-bit key. From the counts Spark computes one log-ratio per known
+word, per known prefix (for words not seen) and one for words of unknown prefixes.
+Up to ``MODEL_ROWS`` rows these tables are broadcast; larger ones are joined by
+shuffle to the distinct words of each block of documents. Both give equal scores.
 """
 
 from __future__ import annotations
@@ -24,17 +26,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from funnelkit.llm import words as w
 from funnelkit.llm.shared import sized, stage, with_row
 
 Batches = Iterator[pa.RecordBatch]
 FOLDS = 5
-WORD_BITS, PREFIX_BITS = 21, 18
 PREFIXES = (7, 5)
 DISCOUNT, EXCESS = 0.75, 3.0
+#: word and prefix ratios that may be broadcast (16 bytes each)
+MODEL_ROWS = 1 << 22
+#: a block of the shuffle join has at most ``2**BLOCK_BITS`` documents
+BLOCK_BITS = 9
 #: the logistic curve is fitted to at most about so many labelled rows
 CALIBRATION_ROWS = 200_000
 #: curve before any calibration row is seen: bias, mean ratio, mean excess
@@ -98,88 +104,127 @@ def _count(batches: Batches) -> Batches:
 
 @dataclass
 class Model:
-    """Bucketed counts of both classes and their totals."""
+    """Log-ratios of known words, of words known by prefix only, and of all others."""
 
-    tokens: np.ndarray            # [2, words]
-    types: list[np.ndarray]       # per prefix length: [2, prefixes]
-    n_tokens: np.ndarray          # [2]
-    n_types: np.ndarray           # [2] distinct words
-    n_prefixes: list[np.ndarray]  # per prefix length: [2]
+    keys: list[np.ndarray]    # word, 7-byte, 5-byte prefix: ascending hashes
+    values: list[np.ndarray]  # their log P(word | toxic) - log P(word | ordinary)
+    unknown: float
 
     def ratios(self, keys: list[np.ndarray]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word."""
-        if not (self.n_tokens > 0).all():
-            return np.zeros(len(keys[0]))
-        at = keys[0] & w.U((1 << WORD_BITS) - 1)
-        near, far = (k & w.U((1 << PREFIX_BITS) - 1) for k in keys[1:])
-        t7, t5 = self.types[0][:, near], self.types[1][:, far]
-        s7, s5 = t7.sum(axis=0), t5.sum(axis=0)
-        everything = float(self.types[1].sum())
-        shared = (s5 + 0.5) / (everything + 5e3)
-        own = self.tokens[:, at]
-        out = []
-        for c in (1, 0):
-            v = float(self.n_types[c])
-            p = np.maximum(t5[c] - DISCOUNT, 0) / v + DISCOUNT * self.n_prefixes[1][c] / v * shared
-            p = p * (s7 + 0.5) / (s5 + 1)
-            p = np.maximum(t7[c] - DISCOUNT, 0) / v + DISCOUNT * self.n_prefixes[0][c] / v * p
-            n = float(self.n_tokens[c])
-            p = np.maximum(own[c] - DISCOUNT, 0) / n + DISCOUNT * v / n * p / (s7 + 1)
-            out.append(p)
-        return np.log(out[0] / out[1])
+        words, at, back = np.unique(keys[0], return_index=True, return_inverse=True)
+        out = np.full(len(words), self.unknown)
+        open_ = np.arange(len(words))
+        for own, known, values in zip(keys, self.keys, self.values, strict=True):
+            if not len(known) or not len(open_):
+                continue
+            want = own[at[open_]]
+            place = np.minimum(np.searchsorted(known, want), len(known) - 1)
+            hit = known[place] == want
+            out[open_[hit]] = values[place[hit]]
+            open_ = open_[~hit]
+        return out[back]
 
     def features(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """[texts, 2]: mean log-ratio and mean excess; zeros for texts without words."""
         keys, first = word_keys(buf, offsets)
         ratio = self.ratios(keys)
-        sums = np.stack([np.concatenate(([0.0], np.cumsum(x)))
-                         for x in (ratio, np.maximum(ratio - EXCESS, 0))], axis=1)
-        return (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1)[:, None]
+        counts = np.diff(first)
+        some = np.flatnonzero(counts)
+        out = np.zeros((len(counts), 2))
+        if len(some):  # sums that depend on the text alone, not on its neighbours
+            for i, x in enumerate((ratio, np.maximum(ratio - EXCESS, 0))):
+                out[some, i] = np.add.reduceat(x, first[some]) / counts[some]
+        return out
+
+
+@dataclass
+class Tables:
+    """A model as stored tables (key, value); see ``Model``."""
+
+    tables: list[DataFrame]
+    unknown: float
 
 
-def _arrays(table: pa.Table, bits: int, names: list[str]) -> np.ndarray:
-    out = np.zeros((len(names), 1 << bits), dtype=np.float32)
-    at = table.column("bucket").to_numpy()
-    for i, name in enumerate(names):
-        out[i, at] = table.column(name).to_numpy()
-    return out
+def _sorted(table: pa.Table, value: str) -> tuple[np.ndarray, np.ndarray]:
+    keys = table.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], table.column(value).to_numpy()[order]
 
 
-def _bucket(column: str, bits: int) -> Column:
-    return F.expr(f"{column} & {(1 << bits) - 1}").cast("int")
+def _log_ratio(kind: str, total: Row, own: bool, near: bool, far: bool) -> Column:
+    """The ratio from a word's counts, its 7- and its 5-byte prefix's, where they are known."""
+    def count(known: bool, prefix: str, c: int) -> Column:
+        return F.col(f"{prefix}{kind}{c}").cast("double") if known else F.lit(0.0)
 
+    def less(x: Column) -> Column:
+        return F.greatest(x - DISCOUNT, F.lit(0.0))
 
-def fit_models(labelled: DataFrame) -> tuple[Model, Model]:
-    """(without the calibration fold, of everything) from labelled(text, grp)."""
+    s7 = count(near, "p7_", 0) + count(near, "p7_", 1)
+    s5 = count(far, "p5_", 0) + count(far, "p5_", 1)
+    shared = (s5 + 0.5) / F.lit(float(total[f"n{kind}0"] + total[f"n{kind}1"]) + 5e3)
+    out = []
+    for c in (1, 0):
+        n, v = float(total[f"{kind}{c}"]), float(total[f"n{kind}{c}"])
+        n7, n5 = (float(total[f"{prefix}{kind}{c}"]) for prefix in ("p7_", "p5_"))
+        p = less(count(far, "p5_", c)) / v + F.lit(DISCOUNT * n5 / v) * shared
+        p = p * (s7 + 0.5) / (s5 + 1)
+        p = less(count(near, "p7_", c)) / v + F.lit(DISCOUNT * n7 / v) * p
+        out.append(less(count(own, "", c)) / n + F.lit(DISCOUNT * v / n) * p / (s7 + 1))
+    return F.log(out[0] / out[1])
+
+
+def fit_models(labelled: DataFrame, rows: int | None = None, least: int = 2
+               ) -> tuple[Model | Tables, Model | Tables]:
+    """(without the calibration fold, of everything) from labelled(text, grp).
+
+    A word's own counts are used from ``least`` occurrences on (1 keeps all, as
+    ``score_documents`` does); rarer words always count as types. ``Tables`` if the model has more than ``rows`` (``MODEL_ROWS``) rows.
+    """
     vocabulary = stage(labelled.mapInArrow(
         _count, "word long, p7 long, p5 long, f0 long, f1 long, c0 long, c1 long")
         .groupBy("word").agg(F.first("p7").alias("p7"), F.first("p5").alias("p5"),
-                             *[F.sum(c).alias(c) for c in COUNTS]), "vocabulary")
-    parts = {"f": [F.col("f0"), F.col("f1")],
-             "a": [F.col("f0") + F.col("c0"), F.col("f1") + F.col("c1")]}
-    counted = [c.alias(f"{k}{i}") for k, v in parts.items() for i, c in enumerate(v)]
+                             *[F.sum(c).alias(c) for c in COUNTS])
+        .select("word", "p7", "p5", "f0", "f1", (F.col("f0") + F.col("c0")).alias("a0"),
+                (F.col("f1") + F.col("c1")).alias("a1")), "vocabulary")
     names = ["f0", "f1", "a0", "a1"]
-    rows = vocabulary.select("word", "p7", "p5", *counted)
-    words = (rows.where("a0 + a1 >= 2").groupBy(_bucket("word", WORD_BITS).alias("bucket"))
-             .agg(*[F.sum(c).alias(c) for c in names]).toArrow())
-    tokens = _arrays(words, WORD_BITS, names)
-    total = rows.agg(*[F.sum(c).alias(c) for c in names],
-                     *[F.count_if(F.col(c) > 0).alias("n" + c) for c in names]).first()
-    types, distinct = [], []
-    for prefix in ("p7", "p5"):
-        found = rows.groupBy(prefix).agg(*[F.count_if(F.col(c) > 0).alias(c) for c in names])
-        found = stage(found, "prefixes")
-        types.append(_arrays(found.groupBy(_bucket(prefix, PREFIX_BITS).alias("bucket"))
-                             .agg(*[F.sum(c).alias(c) for c in names]).toArrow(),
-                             PREFIX_BITS, names))
-        distinct.append(found.agg(*[F.count_if(F.col(c) > 0).alias(c) for c in names]).first())
-
-    def model(at: slice, pair: tuple[str, str]) -> Model:
-        return Model(tokens[at], [t[at] for t in types],
-                     np.array([total[c] or 0 for c in pair], dtype=np.float64),
-                     np.array([total["n" + c] or 0 for c in pair], dtype=np.float64),
-                     [np.array([d[c] or 0 for c in pair], dtype=np.float64) for d in distinct])
-    return model(slice(0, 2), ("f0", "f1")), model(slice(2, 4), ("a0", "a1"))
+
+    def types(prefix: str, *more: Column) -> DataFrame:
+        return stage(vocabulary.groupBy(prefix).agg(*more, *[
+            F.count_if(F.col(c) > 0).alias(f"{prefix}_{c}") for c in names]), "prefixes")
+    near, far = types("p7", F.first("p5").alias("p5")), types("p5")
+    total = vocabulary.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names],
+                           *[F.count_if(F.col(c) > 0).alias("n" + c) for c in names])
+    for prefix, found in (("p7", near), ("p5", far)):
+        total = total.crossJoin(found.agg(*[
+            F.count_if(F.col(f"{prefix}_{c}") > 0).alias(f"{prefix}_{c}") for c in names]))
+    total = total.first()
+    kinds = [k for k in ("f", "a") if total[k + "0"] and total[k + "1"]]
+
+    often = F.col("a0") + F.col("a1") >= least
+
+    def ratios(table: DataFrame, key: str, *known: bool) -> DataFrame:
+        return stage(table.select(F.col(key).alias("key"), *[
+            _log_ratio(k, total, *known).alias(k) for k in kinds]), "ratios")
+    tables = [ratios(vocabulary.where(often).join(near.drop("p5"), "p7").join(far, "p5"),
+                     "word", True, True, True),
+              ratios(near.join(far, "p5"), "p7", False, True, True),
+              ratios(far, "p5", False, False, True)]
+    spark = labelled.sparkSession
+    unknown = spark.range(1).select(*[_log_ratio(k, total, False, False, False).alias(k)
+                                      for k in kinds]).first()
+    small = sum(t.count() for t in tables) <= (MODEL_ROWS if rows is None else rows)
+    local = [t.toArrow() for t in tables] if small and kinds else []
+
+    def model(kind: str) -> Model | Tables:
+        if kind not in kinds:
+            return Model([np.zeros(0, np.uint64)] * 3, [np.zeros(0)] * 3, 0.0)
+        if not small:
+            return Tables([t.select("key", F.col(kind).alias("value")) for t in tables],
+                          unknown[kind])
+        pairs = [_sorted(t, kind) for t in local]
+        return Model([k for k, _ in pairs], [v for _, v in pairs], unknown[kind])
+    return model("f"), model("a")
 
 
 def fit_curve(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -198,33 +243,72 @@ def fit_curve(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return weights
 
 
-def _measure(shared) -> Callable[[Batches], Batches]:
+def _batch(columns: list[str], batch: pa.RecordBatch, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [batch.column(c) for c in columns]
+        + [pa.array(np.ascontiguousarray(values[:, i])) for i in range(2)],
+        names=[*columns, "mean", "excess"])
+
+
+def _measure(shared, columns: list[str]) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         model = shared.value
         for batch in batches:
-            out = [model.features(buf, off) for _, _, buf, off in w.text_blocks(batch.column("text"))]
-            values = np.concatenate(out) if out else np.zeros((0, 2))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(np.ascontiguousarray(values[:, 0])),
-                 pa.array(np.ascontiguousarray(values[:, 1]))], names=["toxic", "mean", "excess"])
+            for lo, hi, buf, offsets in w.text_blocks(w.texts_of(batch)):
+                yield _batch(columns, batch.slice(lo, hi - lo), model.features(buf, offsets))
     return run
 
 
-def _score(shared) -> Callable[[Batches], Batches]:
-    def run(batches: Batches) -> Batches:
-        model, weights = shared.value
-        for batch in batches:
-            for lo, hi, buf, offsets in w.text_blocks(w.texts_of(batch)):
-                x = weights[0] + model.features(buf, offsets) @ weights[1:]
-                score = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-                part = slice(lo, hi)
+def _distinct(batches: Batches) -> Batches:
+    """Rows (block, word, p7, p5): the distinct words of each part of a block."""
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            for _, _, buf, offsets in w.text_blocks(batch.column("text").slice(a, b - a)):
+                keys, _ = word_keys(buf, offsets)
+                _, at = np.unique(keys[0], return_index=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row")[part], batch.column("held_out")[part], pa.array(score),
-                     pa.array((score >= 0.5).astype(np.int32))],
-                    names=["row", "held_out", "score", "predicted"])
+                    [pa.array(np.full(len(at), block[a]))]
+                    + [pa.array(w.as_long(k[at])) for k in keys],
+                    names=["block", "word", "p7", "p5"])
+
+
+def _measure_block(columns: list[str], unknown: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.uint64)
+        pair = _sorted(found, "value") if found.num_rows else (none, np.zeros(0))
+        model = Model([pair[0], none, none], [pair[1], np.zeros(0), np.zeros(0)], unknown)
+        parts = []
+        for batch in docs.to_batches():
+            for lo, hi, buf, offsets in w.text_blocks(w.texts_of(batch)):
+                parts.append(_batch(columns, batch.slice(lo, hi - lo),
+                                    model.features(buf, offsets)))
+        return pa.Table.from_batches(parts)
     return run
 
 
+def measure(docs: DataFrame, model: Model | Tables, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs``, mean and excess; the texts are in ``text``, else in ``row``."""
+    kept = docs.select(*columns)
+    schema = StructType(kept.schema.fields).add("mean", "double").add("excess", "double")
+    if isinstance(model, Model):
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        return docs.mapInArrow(_measure(shared, columns), schema)
+    blocks = stage(docs.withColumn(
+        "block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "blocks")
+    text = F.col("text") if "text" in docs.columns else F.col("row.text").alias("text")
+    found = blocks.select("block", text).mapInArrow(
+        _distinct, "block long, word long, p7 long, p5 long")
+    for key, table in zip(("word", "p7", "p5"), model.tables, strict=True):
+        found = found.join(table.select(F.col("key").alias(key), F.col("value").alias("by_" + key)),
+                           key, "left")
+    found = found.select("block", F.col("word").alias("key"), F.coalesce(
+        "by_word", "by_p7", "by_p5", F.lit(model.unknown)).alias("value"))
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+        _measure_block(columns, model.unknown), schema)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id's text, modulo ``FOLDS``; NULL ids have none."""
     return F.pmod(F.crc32(doc_id.cast("long").cast("string").cast("binary")), F.lit(FOLDS))
@@ -251,26 +335,26 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = docs.select(own.alias("own"), text).join(
         sized(marks), F.col("own") == F.col("id")).select(
         "text", "id", "toxic", (part + F.col("toxic")).cast("int").alias("grp"))
-    spark = docs.sparkSession
-    trial, final = fit_models(labelled.select("text", "grp"))
+    trial, final = fit_models(labelled.select("text", "grp"), least=1)
 
     tests = marks.where(fold(F.col("id")) == 1)
     every = max(1, -(-tests.count() // CALIBRATION_ROWS))
     sample = sized(tests.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0))
-    seen = (docs.select(own.alias("own"), text).join(sample, F.col("own") == F.col("id"))
-            .select("text", "toxic")
-            .mapInArrow(_measure(spark.sparkContext.broadcast(trial)),
-                        "toxic int, mean double, excess double").toArrow())
+    seen = docs.select(own.alias("own"), text).join(sample, F.col("own") == F.col("id"))
+    seen = measure(seen.select("text", "toxic"), trial, ["toxic"]).toArrow()
     order = np.lexsort([seen.column(c).to_numpy() for c in ("toxic", "excess", "mean")])
     weights = fit_curve(
         np.column_stack([seen.column(c).to_numpy() for c in ("mean", "excess")])[order],
         seen.column("toxic").to_numpy()[order].astype(np.float64))
 
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
-    source = with_row(docs, held)
-    kind = source.schema["row"].dataType.simpleString()
-    return source.mapInArrow(_score(spark.sparkContext.broadcast((final, weights))),
-                             f"row {kind}, held_out boolean, score double, predicted int")
+    scored = measure(with_row(docs, held), final, ["row", "held_out"])
+    x = F.lit(float(weights[0]))
+    for value, name in zip(weights[1:].tolist(), ("mean", "excess"), strict=True):
+        x = x + F.col(name) * F.lit(value)
+    x = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x))
+    return scored.select("row", "held_out", (1 / (1 + F.exp(-x))).alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -109,3 +109,32 @@ def test_ratios_equal_a_plain_model(spark):
     for word in probe:
         buf, off = w.string_buffer(pa.array([word]))
         assert math.isclose(model.ratios(tx.word_keys(buf, off)[0])[0], math.log(p(word, 1) / p(word, 0)), rel_tol=1e-4)
+
+
+def test_words_and_prefixes_are_not_merged(spark):
+    """More prefixes than any fixed table held, and words seen once, all keep their own counts."""
+    rnd = random.Random(5)
+    clean = ["%07x" % rnd.randrange(16**7) for _ in range(400_000)]
+    rows = [(" ".join(clean[i:i + 1000]), 0) for i in range(0, len(clean), 1000)]
+    rows += [("qqrarely once " + "plain " * 50, 1), ("plain " * 50, 0)]
+    _, model = tx.fit_models(spark.createDataFrame(rows, "text string, grp int").repartition(4), least=1)
+    buf, off = w.string_buffer(pa.array(["qqrarely", "qqrarelx", "zzzzzzz"]))
+    once, like, never = model.ratios(tx.word_keys(buf, off)[0])
+    words = {x for t, _ in rows for x in t.split()}
+    assert len(model.keys[0]) == len(words) and len(model.keys[1]) == len({x[:7] for x in words})
+    assert once > like > never
+
+
+def test_shuffle_join_equals_broadcast(spark, monkeypatch):
+    docs, labels = corpus(250, seed=4)
+    docs += [(None, "no id"), (7000, None), (7001, " ... "), docs[0], (7002, "snark " * 50_000)]
+    df, marks = frames(spark, docs, labels)
+
+    def scores():
+        out = tx.score_documents(df, marks).select("row.doc_id", "row.text", "held_out", "score", "predicted")
+        return sorted(map(str, out.collect()))
+
+    one = scores()
+    monkeypatch.setattr(tx, "MODEL_ROWS", 0)
+    monkeypatch.setattr(tx, "BLOCK_BITS", 4)
+    assert scores() == one and len(one) == len(docs)
