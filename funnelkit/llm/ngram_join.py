@@ -301,7 +301,7 @@ def _tiles(sets: str, elements: str) -> F.Column:
 
 
 def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) per row of ``docs(doc_id, text)``.
+    """(doc_id, n_shingles, component_id, node, root) per row of ``docs(doc_id, text)``.
 
     Documents link when their sets of word ``words``-grams (A-Z read as a-z,
     words between blanks, a shorter text is one element) have a Jaccard
@@ -310,7 +310,7 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     nothing and are their own component. Repeated rows and rows that share a
     doc_id are judged by their own text. A NULL doc_id counts as larger than all
     others, so a component is NULL only if it has no other id. Other columns are
-    ignored. ``node`` keys the set.
+    ignored. ``node`` keys the set, ``root`` the component.
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
@@ -403,9 +403,10 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         "root", F.coalesce("root", "node"))
     tagged = stage(tagged, "tagged")
     lowest = tagged.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = tagged.join(lowest, "root").select("doc_id", "n_shingles", "component_id", "node")
+    linked = tagged.join(lowest, "root").select("doc_id", "n_shingles", "component_id", "node", "root")
     empty = rows.where("n_shingles = 0").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node")
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node",
+        F.col("node").alias("root"))
     return linked.union(empty)
 
 
@@ -415,26 +416,50 @@ def _repeats(rows: DataFrame) -> bool:
                 .limit(1).isEmpty())
 
 
+def _tag(words: int) -> Callable[[Batches], Batches]:
+    """Rows (row, id, n_shingles, node) of rows (row, doc_id, text)."""
+    profile = _profile(words)
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for found in profile(iter([batch])):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row"), *found.columns], names=["row", "id", "n_shingles", "node"])
+    return run
+
+
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, that of its smallest doc_id.
 
     All columns stay as they are. Documents with an empty set all stay, and so
     do rows without a doc_id, which no decision can name. Repeated rows of a
-    kept document are reduced to one.
+    kept document are reduced to one. Rows that share a doc_id are decided one
+    by one by their own text; of several in one component one stays.
     """
     found = stage(ngram_join(docs, words, percent), "ngram-join")
     own = F.col("doc_id").cast("long")
-    gone = stage(found.where("n_shingles > 0 AND doc_id IS NOT NULL AND NOT doc_id <=> component_id")
-                 .select(F.col("doc_id").alias("gone")).distinct(), "dropped")
-    left = docs.join(sized(gone), own == F.col("gone"), "left_anti")
-    again = stage(found.where("n_shingles > 0 AND doc_id <=> component_id")
-                  .groupBy(F.col("doc_id").alias("again")).count().where("count > 1")
-                  .select("again"), "repeated")
-    if again.isEmpty():
-        return left
-    again = sized(again)
-    return left.join(again, own == F.col("again"), "left_anti").unionByName(
-        left.join(again, own == F.col("again"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    gone = found.where("n_shingles > 0 AND doc_id IS NOT NULL AND NOT doc_id <=> component_id").select(
+        F.col("doc_id").alias("gone"))
+    many = stage(found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("many"))
+                 .count().where("count > 1").select("many"), "repeated")
+    if many.isEmpty():
+        return docs.join(sized(stage(gone, "dropped")), own == F.col("gone"), "left_anti")
+    many = sized(many)
+    gone = stage(gone.join(many, F.col("gone") == F.col("many"), "left_anti"), "dropped")
+    single = docs.join(many, own == F.col("many"), "left_anti").join(
+        sized(gone), own == F.col("gone"), "left_anti")
+    kept = stage(found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("root")
+                 .agg(F.min(F.struct("doc_id", "node")).alias("first"))
+                 .select(F.col("first.doc_id").alias("id"), F.col("first.node").alias("node"))
+                 .join(many, F.col("id") == F.col("many"), "left_semi"), "kept")
+    source = docs.join(many, own == F.col("many"), "left_semi").select(
+        F.struct("*").alias("row"), own.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kind = source.schema["row"].dataType.simpleString()
+    tagged = source.mapInArrow(_tag(words), f"row {kind}, id long, n_shingles long, node long")
+    chosen = (tagged.where("n_shingles > 0").join(sized(kept), ["id", "node"], "left_semi")
+              .dropDuplicates(["id", "node"]).select("row"))
+    rows = tagged.where("n_shingles = 0").select("row").unionByName(chosen)
+    return single.unionByName(rows.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,6 +114,17 @@ def test_empty_and_extra_columns(spark):
     assert [tuple(r) for r in kept] == [(1, "a b c d e f", "x", 1)]
 
 
+def test_keep_one_of_rows_that_share_an_id(spark):
+    x, y = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    rows = [(3, x), (7, x), (7, y), (9, y + " more"), (7, ""), (4, "v " + x), (4, "u " + x),
+            (11, "p q r s t u"), (11, "P q r s t u"), (12, "k l m n o p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((d, t.lower()) for d, t in nj.keep_one(df).collect())
+    assert kept == [(3, x), (7, ""), (7, y), (11, "p q r s t u"), (12, "k l m n o p")]
+    near = spark.createDataFrame([(5, "v " + x), (5, "u " + x), (5, y)], "doc_id long, text string")
+    assert sorted(t[-3:] for _, t in nj.keep_one(near).collect()) == ["x39", "y39"]
+
+
 @pytest.mark.parametrize("size", [1, 2, 4, 5, 7, 11, 40, 300, 2000])
 def test_similar_sets_share_a_signature(size):
     """The guarantee itself, on pairs exactly at the threshold."""
