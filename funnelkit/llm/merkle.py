@@ -167,9 +167,8 @@ def _height(fanout: int) -> int:
     return height
 
 
-def _array(table: pa.Table, fanout: int) -> tuple[list[int], list[list[str]]]:
+def _array(table: pa.Table, fanout: int, height: int) -> tuple[list[int], list[list[str]]]:
     """(places, levels): the table's nodes by slot, and what they reduce to."""
-    height = _height(fanout)
     size = fanout ** height
     places = [s % size for s in table.column("slot").to_pylist()]
     nodes = [""] * len(places)
@@ -184,10 +183,11 @@ def _array(table: pa.Table, fanout: int) -> tuple[list[int], list[list[str]]]:
 
 
 def _reducer(fanout: int):
-    size = fanout ** _height(fanout)
+    height = _height(fanout)
+    size = fanout ** height
 
     def reduce(table: pa.Table) -> pa.Table:
-        _, levels = _array(table, fanout)
+        _, levels = _array(table, fanout, height)
         n = table.column("n")[0].as_py()
         return pa.table({"grp": table.column("grp")[:1], "slot": table.column("block")[:1],
                          "node": [levels[-1][0]], "n": pa.array([-(-n // size)], pa.int64())})
@@ -195,8 +195,10 @@ def _reducer(fanout: int):
 
 
 def _guide(fanout: int):
+    height = _height(fanout)
+
     def paths(table: pa.Table, above: pa.Table) -> pa.Table:
-        places, levels = _array(table, fanout)
+        places, levels = _array(table, fanout, height)
         head = above.column("path")[0].as_py()
         pos, others, ends = [], [], [0]
         for place in places:

@@ -14,6 +14,7 @@ from funnelkit.llm.license_scan import op6_license_scan
 from funnelkit.llm.merkle import OP12_SQL, op12_merkle_manifest
 from funnelkit.llm.mixing import op1_pareto_mix
 from funnelkit.llm.ngram_join import op3_ngram_jaccard_join
+from funnelkit.llm.pii import op13_personal_data
 from funnelkit.llm.sharding import op10_hash_tree_shards
 from funnelkit.llm.substring import op5_substring_dedup
 from funnelkit.llm.topk import OP4_SQL, op4_maxscore_topk
@@ -24,7 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                             op4_maxscore_topk, op5_substring_dedup, op6_license_scan,
                             op7_chat_format, op8_kneser_ney_toxicity, op9_pca_tiled_dedup,
                             op10_hash_tree_shards, op11_collocations,
-                            op12_merkle_manifest)}
+                            op12_merkle_manifest, op13_personal_data)}
 
 SQL: dict[str, str] = {"op4_maxscore_topk": OP4_SQL, "op7_chat_format": OP7_SQL,
                        "op9_pca_tiled_dedup": OP9_SQL, "op11_collocations": OP11_SQL,

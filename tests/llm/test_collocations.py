@@ -1,0 +1,84 @@
+"""Collocations against a plain count of every n-gram."""
+
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from funnelkit.llm.collocations import SALTS, collocations, lead_windows
+
+SCHEMA = "doc_id long, lang string, text string"
+
+
+def brute(rows, width=3, least=10, top=2000, cover=50):
+    f, n = defaultdict(Counter), Counter()
+    for _, lang, text in rows:
+        lang = "und" if lang is None else lang
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, width + 1):
+                f[lang].update(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, c in f.items():
+        cand = {p: a for p, a in c.items() if len(p) > 1 and a >= least}
+        kept = []
+        for p, a in cand.items():
+            score, _, left, right = min((10**6 * a * a // (c[p[:k]] * c[p[k:]]), k, c[p[:k]], c[p[k:]])
+                                        for k in range(1, len(p)))
+            inside = any(len(q) > len(p) and 100 * b >= cover * a and
+                         any(q[i:i + len(p)] == p for i in range(len(q)))
+                         for q, b in cand.items())
+            if not inside:
+                kept.append((-score, -a, " ".join(p).encode(), left, right))
+        for rank, (s, a, p, left, right) in enumerate(sorted(kept)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, n[lang], -s))
+    return sorted(out)
+
+
+def texts():
+    base = ["new york city. new york state; a b c d, a b c d", "New York\ncity hall is in new york city!",
+            "é é é é é", "the the the the of the the of", "x\ty x y\x0bx y\x0cx y:x y", "", None, " \t ",
+            "a b c. a b c, a b c! a b x", "ÀB àb z"]
+    rows = [(i, ["en", None, "und", "", "de"][i % 5], t) for i, t in enumerate(base * 4)]
+    return rows + [(i, "en", "word " * 3000) for i in (900, 900)]   # repeated rows
+
+
+@pytest.mark.parametrize("width, least, top, cover", [(3, 2, 2000, 50), (2, 3, 5, 50), (4, 2, 3, 30),
+                                                      (3, 10, None, 100)])
+def test_equals_plain_counts(spark, width, least, top, cover):
+    rows = texts()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(map(tuple, collocations(docs, width, least, top, cover).collect()))
+    assert got == brute(rows, width, least, 10**9 if top is None else top, cover)
+
+
+def test_top_holds_over_many_salts(spark):
+    """More phrases than salts, ties throughout: ranks are gapless and ordered by phrase."""
+    rows = [(i, "en", f"p{i:03d} q{i:03d}") for i in range(4 * SALTS)] * 2
+    got = sorted(collocations(spark.createDataFrame(rows, SCHEMA), 2, 2, 2 * SALTS).collect(),
+                 key=lambda r: r["rank"])
+    assert [r["phrase"] for r in got] == [f"p{i:03d} q{i:03d}" for i in range(2 * SALTS)]
+
+
+def test_windows_stay_inside_pieces(spark):
+    docs = spark.createDataFrame([(1, "en", "a b. c")], SCHEMA)
+    assert sorted(map(tuple, lead_windows(docs, 3).collect()), key=str) == sorted(
+        [("en", "a", "b", None), ("en", "b", None, None), ("en", "c", None, None)], key=str)
+
+
+def test_exact_beyond_64_bits(spark):
+    from pyspark.sql import functions as F
+
+    from funnelkit.llm.collocations import score
+    a, left, right = 10**14 + 7, 3 * 10**14 + 1, 2 * 10**14 + 9
+    row = spark.range(1).select(score(*[F.lit(x) for x in (a, left, right)]).alias("s")).first()
+    assert row["s"] == 10**6 * a * a // (left * right)
+
+
+def test_empty_table_and_clashing_columns(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert collocations(empty).collect() == []
+    docs = spark.createDataFrame([("a b", "en", 1, 2, "z")] * 10, "text string, lang string, w1 long, f long, words string")
+    assert [tuple(r)[:4] for r in collocations(docs).collect()] == [("en", 1, "a b", 10)]

@@ -18,7 +18,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def test_all_operators_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(queries())
     assert set(SQL) <= set(oracle_sql()) and "pipeline" not in oracle_sql()
 
@@ -26,7 +26,7 @@ def test_all_operators_are_registered():
 @pytest.mark.parametrize("key", sorted(SQL))
 def test_equals_sql(spark, key):
     con = duckdb.connect()
-    for t in ("embeddings", "conversations"):
+    for t in ("embeddings", "conversations", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(SF_SMALL, t)}.parquet')")
     cur = con.execute(SQL[key])
     names = [d[0] for d in cur.description]
