@@ -12,6 +12,14 @@ words at blanks and tabs, A-Z is read as a-z. A phrase that occurs ``least``
 times has parts that do, so what stays behind the ROLLUP holds every part that
 a score needs, and is at most a ``least``-th of the words per order.
 
+Most long phrases are rare and would fill the shuffle. So occurrences are first
+counted by hash bucket, and a window ends before its k-th word if the bucket of its
+first k words holds fewer than ``least``. A bucket counts at least what each of its
+phrases does, so no phrase that reaches ``least`` loses a window: the filter
+never changes a result. It is one bit a bucket, 2**FILTER_BITS of them, broadcast
+(16 MB at 27); where far more phrases than buckets exist it cuts little, and the
+shuffle of the windows grows towards one row per distinct window.
+
 Every shuffle is pre-aggregated: a word that is a third of the corpus arrives
 as one row per task. Ranks are taken per (lang, salt) first, so a language that
 holds all rows sends ``top`` rows per salt to its last step. Joins carry no
@@ -33,6 +41,8 @@ from funnelkit.llm.shared import stage
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PIECE_ENDS = r"[.,;:!?\x0A-\x0D]"
 WORD_ENDS = r"[\x20\x09]+"
+#: the filter of rare phrases has 2**FILTER_BITS buckets
+FILTER_BITS = 27
 #: groups that a language's ranking is split into before its last step
 SALTS = 32
 
@@ -50,13 +60,49 @@ def lead_windows(docs: DataFrame, width: int) -> DataFrame:
         "lang", *[f"w{k + 1}" for k in range(width)])
 
 
+def _buckets(width: int) -> list[Column]:
+    """Per order from 2 the bucket of a window's first words; NULL if it has fewer."""
+    return [F.when(F.col(f"w{k}").isNotNull(), F.shiftrightunsigned(
+        F.xxhash64("lang", *[f"w{i + 1}" for i in range(k)]), 64 - FILTER_BITS))
+        for k in range(2, width + 1)]
+
+
+def _without_rare(docs: DataFrame, width: int, least: int) -> DataFrame:
+    """The lead windows, each ended before the first prefix that is surely rare."""
+    windows = lead_windows(docs, width)
+    # 512 words of 64 bits in a row
+    often = (windows.select(F.explode(F.array(*_buckets(width))).alias("bucket"))
+             .where("bucket IS NOT NULL").groupBy("bucket").count().where(F.col("count") >= least)
+             .groupBy(F.shiftright("bucket", 6).alias("word"))
+             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"),
+                                           F.col("bucket").bitwiseAND(63).cast("int"))).alias("bits"))
+             .groupBy(F.shiftright("word", 9).alias("block"))
+             .agg(F.map_from_entries(F.collect_list(F.struct(
+                 F.col("word").bitwiseAND(511).cast("int"), "bits"))).alias("found")))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.coalesce(
+        F.try_element_at("found", i), F.lit(0).cast("long")))
+    often = F.broadcast(stage(often.select("block", dense.alias("bits")), "frequent"))
+    marked = windows.select("*", *[b.alias(f"b{k}") for k, b in enumerate(_buckets(width), 2)])
+    kept = [F.col("w1")]
+    alive = None
+    for k in range(2, width + 1):
+        marked = marked.join(often.toDF(f"block{k}", f"bits{k}"),
+                             F.shiftright(f"b{k}", 15) == F.col(f"block{k}"), "left")
+        place = F.col(f"b{k}").bitwiseAND(32767).cast("int")
+        word = F.get(f"bits{k}", F.shiftright(place, 6))
+        here = F.call_function("shiftright", word, place.bitwiseAND(63)).bitwiseAND(1) == 1
+        alive = here if alive is None else alive & here
+        kept.append(F.when(alive, F.col(f"w{k}")).alias(f"w{k}"))
+    return marked.select("lang", *kept)
+
+
 def phrase_counts(docs: DataFrame, width: int = 3, least: int = 10) -> DataFrame:
     """``lang, words, size, f``: phrases of 1 to ``width`` words that occur ``least`` times.
 
     The row of size 0 holds the number of all words of its language.
     """
     names = [f"w{k + 1}" for k in range(width)]
-    longest = lead_windows(docs, width).groupBy("lang", *names).agg(F.count("*").alias("f"))
+    longest = _without_rare(docs, width, least).groupBy("lang", *names).agg(F.count("*").alias("f"))
     rolled = longest.rollup("lang", *names).agg(F.sum("f").alias("f"),
                                                 F.grouping_id().alias("level"))
     # grouping_id has a bit for each column that was summed away
