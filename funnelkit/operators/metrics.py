@@ -2,8 +2,11 @@
 
 Revenue is ``quantity x base_price`` of Purchased orders, summed exactly
 (see ``functions.money``). The stage filter sits right above the scan, the
-product (and user) joins follow, and the aggregate is partial + final. Windows
-without a partition key only ever run over the aggregated weeks.
+product (and user) joins follow, then one aggregate over two grouping sets: per
+price the summed quantity, per order nothing but its existence. So one scan and
+one shuffle give revenue and distinct orders, lines only add up whole numbers,
+and a price is multiplied once per group. Windows without a partition key only
+ever run over the aggregated weeks.
 """
 
 from __future__ import annotations
@@ -11,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelkit.functions.money import average_order_value, line_amount, money
+from funnelkit.functions.money import (average_order_value, checked_sum, money, price_digits,
+                                       price_product, total_amount)
 from funnelkit.sources.schemas import PURCHASED
 
 
@@ -33,14 +37,49 @@ def purchased_lines(orders: DataFrame, products: DataFrame,
             joins.insert(0, (people.where(segment), "user_id"))
     for side, key in joins:
         lines = lines.join(side, key)
-    return lines.withColumn("_amount", line_amount("quantity", "base_price"))
+    return lines
+
+
+def revenue_by(lines: DataFrame, **keys: Column) -> DataFrame:
+    """Per group of ``keys``: revenue, _amount, total_orders, week_start, week_end.
+
+    ``lines`` come from :func:`purchased_lines`. ``_amount`` is the exact revenue,
+    ``revenue`` the nearest double; both are NULL if no line has a quantity and a
+    price. NaN prices are missing, an infinite price makes the revenue infinite.
+    Without keys there is one row, also for no lines.
+    """
+    names = list(keys)
+    day = F.to_date("order_date")
+    sets = lines.select(*[c.alias(k) for k, c in keys.items()], "order_id", "base_price", "quantity",
+                        day.alias("_day"))
+    parts = sets.groupingSets([[*names, "base_price"], [*names, "order_id"]],
+                              *names, "base_price", "order_id").agg(
+        F.grouping_id().alias("_set"), checked_sum("quantity").alias("_q"),
+        F.min("_day").alias("_first"), F.max("_day").alias("_last"))
+    by_price = F.col("_set") % 4 == 1      # the order was summed away, the price not
+    digits = F.when(by_price, price_digits("base_price"))
+    endless = by_price & (F.abs("base_price") == float("inf"))
+    terms = parts.select(
+        *names, digits["e"].alias("_e"), price_product("_q", digits).alias("_t"),
+        F.when(endless, F.col("_q") * F.col("base_price")).alias("_endless"),
+        (~by_price & F.col("order_id").isNotNull()).alias("_order"), "_first", "_last")
+    by_power = terms.groupBy(*names, "_e").agg(
+        F.sum("_t").cast("decimal(38,0)").alias("_t"), F.sum("_endless").alias("_endless"),
+        F.count_if("_order").alias("_orders"), F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    out = by_power.groupBy(*names).agg(
+        total_amount(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct(
+            F.col("_e").alias("e"), F.col("_t").alias("t"))))).alias("_amount"),
+        F.sum("_endless").alias("_endless"),
+        F.coalesce(F.sum("_orders"), F.lit(0).cast("bigint")).alias("total_orders"),
+        F.min("_first").alias("week_start"), F.max("_last").alias("week_end"))
+    return out.withColumn("revenue", F.coalesce("_endless", money("_amount"))).drop("_endless")
 
 
 def _week_keys(iso_year: bool) -> tuple[Column, Column]:
     ts = F.col("order_date")
     year = (F.expr("extract(YEAROFWEEK FROM order_date)") if iso_year
             else F.year(ts))
-    return year.cast("bigint").alias("year"), F.weekofyear(ts).cast("bigint").alias("week_num")
+    return year.cast("bigint"), F.weekofyear(ts).cast("bigint")
 
 
 def weekly_kpis(orders: DataFrame, products: DataFrame, iso_year: bool = False,
@@ -54,16 +93,13 @@ def weekly_kpis(orders: DataFrame, products: DataFrame, iso_year: bool = False,
     """
     lines = purchased_lines(orders, products, users, segment)
     year, week = _week_keys(iso_year)
-    day = F.to_date("order_date")
-    agg = lines.groupBy(year, week).agg(
-        F.min(day).alias("week_start"),
-        F.max(day).alias("week_end"),
-        F.count_distinct("order_id").alias("total_orders"),
-        F.sum("_amount").alias("_amount"))
+    agg = revenue_by(lines, year=year, week_num=week)
+    whole = F.abs("revenue") < float("inf")
     return agg.select(
         "year", "week_num", "week_start", "week_end", "total_orders",
-        money("_amount").alias("total_revenue"),
-        average_order_value("_amount", "total_orders").alias("aov"))
+        F.col("revenue").alias("total_revenue"),
+        F.when(whole, average_order_value("_amount", "total_orders"))
+        .otherwise(F.try_divide("revenue", F.col("total_orders").cast("double"))).alias("aov"))
 
 
 def weekly_growth(kpis: DataFrame) -> DataFrame:
@@ -86,9 +122,8 @@ def kpi_totals(orders: DataFrame, products: DataFrame, users: DataFrame,
     Zero instead of NULL when nothing matches; AOV is not rounded.
     """
     lines = purchased_lines(orders, products, users, segment)
-    agg = lines.agg(F.sum("_amount").alias("_amount"),
-                    F.count_distinct("order_id").alias("total_orders"))
-    revenue = F.coalesce(money("_amount"), F.lit(0.0))
+    agg = revenue_by(lines)
+    revenue = F.coalesce("revenue", F.lit(0.0))
     return agg.select(
         revenue.alias("total_revenue"),
         F.coalesce(F.try_divide(revenue, F.col("total_orders").cast("double")),
@@ -101,9 +136,6 @@ def weekly_revenue(orders: DataFrame, products: DataFrame, users: DataFrame,
     """Per (year, week): first order date, revenue and a text label."""
     lines = purchased_lines(orders, products, users, segment)
     year, week = _week_keys(False)
-    agg = lines.groupBy(year, week).agg(
-        F.min(F.to_date("order_date")).alias("week_start"),
-        F.sum("_amount").alias("_amount"))
-    return agg.select("year", "week_num", "week_start",
-                      money("_amount").alias("revenue"),
+    agg = revenue_by(lines, year=year, week_num=week)
+    return agg.select("year", "week_num", "week_start", "revenue",
                       F.col("week_start").cast("string").alias("week_label"))

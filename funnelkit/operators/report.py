@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from funnelkit.functions.text import (cell_text, currency_text, integer_text,
                                       markdown_row, pct_text)
-from funnelkit.operators.metrics import purchased_lines
-from funnelkit.functions.money import money
+from funnelkit.operators.metrics import purchased_lines, revenue_by
 
 
 def weekly_report(growth: DataFrame) -> DataFrame:
@@ -38,15 +37,13 @@ def region_currency(orders: DataFrame, products: DataFrame,
                     users: DataFrame) -> DataFrame:
     """Revenue, orders and AOV per region as display text (KPI-card style)."""
     lines = purchased_lines(orders, products, users)
-    agg = lines.groupBy("region").agg(
-        F.sum("_amount").alias("_amount"),
-        F.count_distinct("order_id").alias("_orders"))
-    revenue = money("_amount")
-    aov = F.try_divide(revenue, F.col("_orders").cast("double"))
+    agg = revenue_by(lines, region=F.col("region"))
+    revenue = F.col("revenue")
+    aov = F.try_divide(revenue, F.col("total_orders").cast("double"))
     return agg.select(
         "region",
         currency_text(revenue).alias("revenue_text"),
-        integer_text("_orders").alias("orders_text"),
+        integer_text("total_orders").alias("orders_text"),
         currency_text(aov).alias("aov_text"))
 
 

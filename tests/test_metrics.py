@@ -83,3 +83,45 @@ def test_weekly_revenue_label(spark):
     got = rows(metrics.weekly_revenue(o, p, u, segment_filter([], ["ads"])),
                "week_label", "revenue")
     assert got == [("2024-01-03", 101.01)]
+
+
+def _revenue(spark, lines):
+    """(revenue, aov of one order) of (quantity, price) lines."""
+    products = spark.createDataFrame([(i, "p", p) for i, (_, p) in enumerate(lines)],
+                                     "product_id long, product_name string, base_price double")
+    orders = spark.createDataFrame([(1, 7, i, q, "Purchased", ts("2024-01-03 10:00:00"))
+                                    for i, (q, _) in enumerate(lines)], ORD)
+    r = metrics.weekly_kpis(orders, products).collect()[0]
+    return r.total_revenue, r.aov
+
+
+def test_revenue_of_any_finite_price(spark):
+    from fractions import Fraction
+    inf = float("inf")
+    cases = [[(10**9, 4e-7)], [(3, 1e13)], [(3, 0.1)], [(1, 1e13), (10**9, 4e-7), (7, 0.07)],
+             [(2, 1e300)], [(5, 5e-324)], [(1, 1e300), (1, 1e-300)], [(1, 1e16), (1, 0.5), (-1, 1e16)],
+             [(1, 123456789.12345678), (10**12, 0.30000000000000004)], [(1, -2.5), (1, 0.0)],
+             [(2**40, 1.7976931348623157e308 / 2**41)], [(1, 0.005)], [(1, 1.005), (None, 3.0), (2, None)]]
+    for lines in cases:
+        exact = sum(q * Fraction(repr(p)) for q, p in lines if q is not None and p is not None)
+        got, aov = _revenue(spark, lines)
+        assert got == float(exact), lines
+        cents = abs(exact) * 100
+        half = (2 * cents.numerator + cents.denominator) // (2 * cents.denominator)
+        if abs(exact) < 10**15:
+            assert aov == (half if exact >= 0 else -half) / 100, lines
+    assert _revenue(spark, [(10**9, 4e-7)])[0] == 400.0
+    assert _revenue(spark, [(1, inf), (1, 1.0)]) == (inf, inf)
+    assert _revenue(spark, [(1, float("nan")), (None, 1.0)]) == (None, None)
+
+
+def test_quantity_sums_never_wrap_around(spark):
+    import pytest
+    with pytest.raises(Exception, match="bigint|overflow|OVERFLOW"):
+        _revenue(spark, [(2**62, 1.0), (2**62, 1.0), (2**62, 1.0)])
+
+
+def test_one_scan_and_one_shuffle_of_lines(spark):
+    o, p, _ = _data(spark)
+    plan = metrics.weekly_kpis(o, p)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Expand") == 1 and "decimal" not in plan.split("Expand")[1]
