@@ -40,6 +40,32 @@ def deduplicate(df: DataFrame, key: str = "order_id",
     return _ranked(df, key, order_by).where(F.col(_RN) == 1).drop(_RN)
 
 
+def first_copies(df: DataFrame, key: str = "order_id",
+                 order_by: Sequence[str | Column] = ("_arrival",),
+                 sample_size: int = 5) -> DataFrame:
+    """The first ``sample_size + 1`` rows of each key with their number ``_rn`` from 1.
+
+    Number 1 is what :func:`deduplicate` keeps; the first ``sample_size``
+    duplicates of the whole table are among the others. The limit is applied
+    before the shuffle, too.
+    """
+    return _ranked(df, key, order_by).where(F.col(_RN) <= sample_size + 1)
+
+
+def duplicate_sample(copies: DataFrame, key: str = "order_id",
+                     order_by: Sequence[str | Column] = ("_arrival",),
+                     sample_size: int = 5) -> DataFrame:
+    """One row, ``sample_duplicate_ids``: the first duplicates of ``first_copies`` by arrival."""
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    first_dups = copies.where(F.col(_RN) >= 2).orderBy(*order_cols).limit(sample_size)
+    arrival = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order_cols)])
+    return first_dups.agg(F.sort_array(F.collect_list(
+        F.struct(arrival.alias("o"), F.coalesce(F.col(key).cast("string"), F.lit("NULL")).alias("k"))))
+        .alias("s")).select(
+        F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: x["k"]), ", "),
+                 F.lit("]")).alias("sample_duplicate_ids"))
+
+
 def dedup_audit(df: DataFrame, key: str = "order_id",
                 order_by: Sequence[str | Column] = ("_arrival",),
                 sample_size: int = 5) -> DataFrame:
@@ -58,17 +84,8 @@ def dedup_audit(df: DataFrame, key: str = "order_id",
         (F.coalesce("rows_before", F.lit(0).cast("bigint"))
          - F.col("rows_after")).alias("duplicates_found"),
         "rows_after")
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    ranked = _ranked(df, key, order_by).where(F.col(_RN) <= sample_size + 1)
-    first_dups = (ranked.where(F.col(_RN) >= 2)
-                  .orderBy(*order_cols).limit(sample_size))
-    arrival = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order_cols)])
-    sample = first_dups.agg(F.sort_array(F.collect_list(
-        F.struct(arrival.alias("o"), F.coalesce(F.col(key).cast("string"), F.lit("NULL")).alias("k"))))
-        .alias("s")).select(
-        F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: x["k"]), ", "),
-                 F.lit("]")).alias("sample_duplicate_ids"))
-    return counts.crossJoin(sample)
+    copies = first_copies(df, key, order_by, sample_size)
+    return counts.crossJoin(duplicate_sample(copies, key, order_by, sample_size))
 
 
 # ------------------------------------------------------------ quantities (C4-C6)
@@ -84,22 +101,34 @@ def quantity_audit(df: DataFrame, column: str = "quantity", key: str = "order_id
                    order_by: Sequence[str | Column] = ("_arrival",),
                    sample_size: int = 5) -> DataFrame:
     """One row: negative count, zero count, total affected, before/after sample."""
-    q = F.col(column)
-    counts = df.agg(F.count_if(q < 0).alias("negative_quantities"),
-                    F.count_if(q == 0).alias("zero_quantities"))
+    counts = df.agg(*quantity_counts(column))
     counts = counts.withColumn(
         "total_affected", F.col("negative_quantities") + F.col("zero_quantities"))
+    return counts.crossJoin(negative_sample(df, column, key, order_by, sample_size))
+
+
+def quantity_counts(column: str = "quantity") -> list[Column]:
+    """The audit's counts as aggregates over deduplicated rows."""
+    q = F.col(column)
+    return [F.count_if(q < 0).alias("negative_quantities"),
+            F.count_if(q == 0).alias("zero_quantities")]
+
+
+def negative_sample(df: DataFrame, column: str = "quantity", key: str = "order_id",
+                    order_by: Sequence[str | Column] = ("_arrival",),
+                    sample_size: int = 5) -> DataFrame:
+    """One row, ``negative_sample``: the first repaired quantities, before and after."""
+    q = F.col(column)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
     arrival = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order_cols)])
     line = F.concat(F.lit("order_id "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")), F.lit(": "),
                     q.cast("string"), F.lit(" -> "), F.abs(q).cast("string"))
-    sample = (df.where(q < 0).orderBy(*order_cols).limit(sample_size)
-              .agg(F.sort_array(F.collect_list(F.struct(arrival.alias("o"),
-                                                        line.alias("t"))))
-                   .alias("s"))
-              .select(F.array_join(F.transform("s", lambda x: x["t"]), "; ")
-                      .alias("negative_sample")))
-    return counts.crossJoin(sample)
+    return (df.where(q < 0).orderBy(*order_cols).limit(sample_size)
+            .agg(F.sort_array(F.collect_list(F.struct(arrival.alias("o"),
+                                                      line.alias("t"))))
+                 .alias("s"))
+            .select(F.array_join(F.transform("s", lambda x: x["t"]), "; ")
+                    .alias("negative_sample")))
 
 
 # -------------------------------------------------------- price outliers (C7-C10)

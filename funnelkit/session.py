@@ -75,5 +75,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path (on whatever file system it is)."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 __all__ = ["CLUSTER_CONF", "build_session", "ensure_checkpoint_dir",
-           "scratch_path"]
+           "remove_path", "scratch_path"]

@@ -77,8 +77,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
 
 
 def read_tables(spark: SparkSession, paths: dict[str, str],
-                fmt: str = "csv", raw: bool = True,
-                keep_bad: bool = False) -> dict[str, DataFrame]:
+                fmt: str = "csv", raw: bool = True, keep_bad: bool = False,
+                multiline: bool = True) -> dict[str, DataFrame]:
     """Read users / products / orders; raise one error naming all missing paths."""
     missing = _missing(spark, [paths[t] for t in TABLES])
     if missing:
@@ -89,7 +89,8 @@ def read_tables(spark: SparkSession, paths: dict[str, str],
         "orders": schemas.RAW_ORDERS if raw else schemas.CLEAN_ORDERS,
     }
     if fmt == "csv":
-        return {t: read_csv(spark, paths[t], layout[t], keep_bad=keep_bad) for t in TABLES}
+        return {t: read_csv(spark, paths[t], layout[t], keep_bad=keep_bad, multiline=multiline)
+                for t in TABLES}
     return {t: spark.read.schema(layout[t]).parquet(paths[t]) for t in TABLES}
 
 

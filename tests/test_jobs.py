@@ -172,3 +172,54 @@ def test_arrival_order_across_files(spark, tmp_path):
     df = files.with_arrival_order(spark.read.parquet(str(d)), "parquet")
     kept = clean.deduplicate(df, "order_id", ["_arrival"])
     assert sorted(rows(kept, "order_id", "user_id")) == [(1, 10), (2, 20), (3, 30)]
+
+
+def _reports(spark, out):
+    return {k: sorted(rows(spark.read.parquet(v)), key=str) for k, v in out.items()
+            if k not in files.TABLES}
+
+
+def test_cleaning_job_reports_equal_the_operators(spark, tmp_path):
+    """Observed counts and the stored first copies give what the audits give on the raw rows."""
+    from funnelkit.operators import clean as c
+    lines = RAW_ORDER_ROWS + [f"{i % 7},{i % 4},{10 + i % 9},{i % 5 - 2},{['Visited', 'Lost', ''][i % 3]},"
+                              f"2024-02-{i % 28 + 1:02d} 08:00:00" for i in range(90)]
+    for name, body in {"some": lines, "none": RAW_ORDER_ROWS[:1]}.items():
+        paths = _raw_files(tmp_path / name)
+        _write(paths["orders"], body)
+        out = run_cleaning(spark, paths, str(tmp_path / name / "clean"))
+        raw = files.read_tables(spark, paths, keep_bad=True)
+        orders = files.with_arrival_order(raw["orders"], "csv")
+        kept = c.deduplicate(orders, "order_id", ["_arrival"])
+        stored = files.read_tables(spark, out, fmt="parquet", raw=False)
+        want = {"validation": quality.validation_report(raw["users"], raw["products"], c.fix_quantities(kept)),
+                "dedup_audit": c.dedup_audit(orders, "order_id", ["_arrival"]),
+                "quantity_audit": c.quantity_audit(kept, "quantity", "order_id", ["_arrival"]),
+                "price_corrections": c.price_correction_log(raw["products"].drop("_bad")),
+                "orders_profile": quality.orders_profile(stored["orders"]),
+                "stage_mix": quality.stage_mix(stored["orders"])}
+        got = _reports(spark, out)
+        assert got == {k: sorted(rows(df), key=str) for k, df in want.items()}
+        for k, df in want.items():
+            assert spark.read.parquet(out[k]).columns == df.columns
+
+
+def test_cleaning_job_reads_raw_orders_twice_and_leaves_no_scratch(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from funnelkit.session import ensure_checkpoint_dir
+    paths, plans = _raw_files(tmp_path), []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+    count, first, write = DataFrame.count, DataFrame.first, files.write_table
+    monkeypatch.setattr(DataFrame, "count", lambda self: (seen(self), count(self))[1])
+    monkeypatch.setattr(DataFrame, "first", lambda self: (seen(self), first(self))[1])
+    monkeypatch.setattr(files, "write_table", lambda df, *a, **k: (seen(df), write(df, *a, **k))[1])
+    before = set(os.listdir(ensure_checkpoint_dir(spark).removeprefix("file:")))
+    run_cleaning(spark, paths, str(tmp_path / "clean"))
+    after = set(os.listdir(ensure_checkpoint_dir(spark).removeprefix("file:")))
+    assert not any("first-copies" in name for name in after - before)
+    # the count; the other read is the one that stores the first copies
+    csv_reads = [p for p in plans if "quantity" in p and "csv" in p.lower() and "order_stage" in p]
+    assert len(csv_reads) <= 1

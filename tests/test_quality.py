@@ -98,3 +98,46 @@ def test_read_tables_lists_every_missing_path(spark, tmp_path):
     with pytest.raises(FileNotFoundError) as e:
         files.read_tables(spark, paths)
     assert all(p in str(e.value) for p in paths.values())
+
+
+def _issues(df):
+    return {(r.check_name, r.column_name): r.n_issues for r in df.collect()}
+
+
+def test_one_pass_counts_orphans_of_any_key(spark):
+    """Negative, 64-bit, NULL, hot and repeated keys, against plain set membership."""
+    import random
+    rng = random.Random(3)
+    wide = [None, 0, -1, 1, 32767, 32768, -32768, -32769, 2**63 - 1, -2**63, 2**40, -2**40, 77]
+    users = [(k, "2024-01-01", "EU", "web") for k in wide[:9] + [0, None]]
+    products = [(k, "p", 1.0) for k in wide[3:] + [5, 5]]
+    orders = [(i, rng.choice([77] * 9 + wide), rng.choice([5] * 9 + wide), 1,
+               rng.choice(["Visited", "Refunded", None, "Lost"]), "2024-01-01 10:00:00") for i in range(600)]
+    u = spark.createDataFrame(users, "user_id long, signup_date string, region string, channel string")
+    p = spark.createDataFrame(products, "product_id long, product_name string, base_price double")
+    o = spark.createDataFrame(orders, ORD).repartition(5)
+    got = _issues(quality.validation_report(u, p, o))
+    known_u, known_p = {r[0] for r in users} - {None}, {r[0] for r in products} - {None}
+    assert got["orphan_key", "orders.user_id"] == sum(r[1] not in known_u for r in orders)
+    assert got["orphan_key", "orders.product_id"] == sum(r[2] not in known_p for r in orders)
+    assert got["unknown_stage", "orders.order_stage"] == 3
+    assert got["null_values", "orders.user_id"] == sum(r[1] is None for r in orders)
+    assert got["null_values", "users.user_id"] == 2 and got["null_values", "products.product_id"] == 0
+    checked = quality.check_pass(u, p, o).first()
+    assert checked.unique_users == len({r[1] for r in orders} - {None})
+    assert checked.unique_products == len({r[2] for r in orders} - {None})
+    assert quality.orphans(o, u, "user_id").count() == got["orphan_key", "orders.user_id"]
+
+
+def test_validation_reads_each_table_once(spark):
+    from funnelkit.plans.registry import validation_report
+    plan = validation_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert sum("lineitem.parquet" in s for s in scans) == 1
+    assert sum("customer.parquet" in s for s in scans) == 1
+    assert sum("part.parquet" in s for s in scans) == 1
+
+
+def test_validation_of_empty_tables(spark):
+    users, products, orders = (df.limit(0) for df in _tables(spark))
+    assert set(_issues(quality.validation_report(users, products, orders)).values()) == {0}
