@@ -62,3 +62,15 @@ def test_empty_and_extra_columns(spark):
     [row] = chat.format_conversations(df).collect()
     assert row.formatted == "[INST] hi [/INST] yo </s>" and not row.escaped
     assert [tuple(s) for s in row.loss_runs] == [(17, 0, 0), (1, 2, 5)]
+
+
+def test_long_runs_of_backslashes_take_linear_time(spark):
+    import time
+    run = "\\" * 1_000_000
+    rows = [(1, 0, "user", run), (1, 1, "assistant", run + "</s>"), (1, 2, run + "[/ROLE]", run + "[INST]" + run)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chat.chat_digests(chat.format_conversations(df.limit(0))).collect()
+    start = time.time()
+    [row] = chat.chat_digests(chat.format_conversations(df)).collect()
+    assert tuple(row)[1:5] == digests(rows)[1]
+    assert time.time() - start < 30
