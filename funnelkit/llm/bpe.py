@@ -8,6 +8,9 @@ byte. Each merge ``x y -> z``, in order, applies one gadget:
 2. the arc labelled ``y`` out of state ``x`` goes (that pair would have merged),
 3. every state with an arc ``x`` gets an arc ``z``.
 
+A merge whose path ``x y`` is gone by its turn never applies; its token gets no
+arcs and no state, whatever the vocabulary lists.
+
 After all merges the automaton is deterministic and accepts, for every byte
 string, exactly one token sequence: its BPE encoding. With 50,000 tokens the
 full table would have 2.5 billion entries, so each gadget is stored as what it
@@ -82,6 +85,7 @@ class Automaton:
         self.removed: dict[tuple[int, int], int] = {}
         for time, (x, y) in enumerate(merges):
             self._gadget(time, self.ids[x], self.ids[y], self.ids[x + y])
+        self.end = 3 * len(merges) + 3
         #: tokens that the automaton has arcs for, and the longest by their first three bytes
         self.tokens = {label: i for label, i in self.ids.items() if i in self.born}
         self.reach: dict[bytes, int] = {}
@@ -92,6 +96,9 @@ class Automaton:
         self.arcs: dict[int, bool] = {}
 
     def _gadget(self, time: int, x: int, y: int, z: int) -> None:
+        # without a path x, y by now the merge never applies: no arcs to copy, z stays unborn
+        if x not in self.born or y not in self.born or not self._look_back(x, y, 3 * time):
+            return
         if z in self.born:
             raise ValueError("a token made by two merges is not supported")
         self.last[z], self.first[z] = y, x
@@ -107,12 +114,12 @@ class Automaton:
         if known is None:
             if len(self.arcs) >= ARCS:
                 self.arcs.clear()
-            known = self.arcs[key] = self._look_back(state, label)
+            known = self.arcs[key] = self._look_back(state, label, self.end)
         return known
 
-    def _look_back(self, state: int, label: int) -> bool:
+    def _look_back(self, state: int, label: int, now: int) -> bool:
+        """The arc as it was before step ``now``."""
         # steps of the gadget at time t: row copy 3t, removal 3t + 1, column copy 3t + 2
-        now = 3 * len(self.removed) + 3
         while True:
             gone = self.removed.get((state, label))
             if gone is not None and 3 * gone + 1 < now:
@@ -127,7 +134,7 @@ class Automaton:
 
     def encode_word(self, word: bytes) -> list[int]:
         tokens, reach, arcs = self.tokens, self.reach, self.arcs
-        whole = tokens.get(word)
+        whole = tokens.get(word)   # born tokens only: the start state has an arc for each
         if whole is not None:
             return [whole]
         n = len(word)
