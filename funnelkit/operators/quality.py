@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from funnelkit.functions.dates import parse_date, parse_timestamp
 from funnelkit.functions.stages import is_known_stage
-from funnelkit.sources.schemas import (BAD, DATE_FORMAT, NUMERIC_COLUMNS, STAGES,
+from funnelkit.sources.schemas import (BAD, DATE_FORMAT, NUMERIC_COLUMNS, RECORD, STAGES,
                                        TIMESTAMP_FORMAT)
 
 
@@ -68,11 +68,16 @@ def _row(check: str, column: str, n: Column, counted: bool) -> Column:
                     F.lit(counted).alias("counted"))
 
 
+def _kept(name: str) -> Column:
+    """Whether the CSV reader kept a text under ``name``."""
+    return F.col(BAD).isNotNull() & F.map_contains_key(F.coalesce(
+        F.col(BAD), F.create_map(F.lit(""), F.lit(""))), name)
+
+
 def _not_numeric(table: DataFrame, column: str) -> Column:
     """Whether a present value is no number: text the CSV reader kept, or a text column's own."""
     if BAD in table.columns:
-        return F.col(BAD).isNotNull() & F.map_contains_key(F.coalesce(
-            F.col(BAD), F.create_map(F.lit(""), F.lit(""))), column)
+        return _kept(column)
     c = F.col(column)
     if isinstance(table.schema[column].dataType, T.NumericType):
         return F.lit(False)
@@ -89,6 +94,9 @@ def row_checks(users: DataFrame, products: DataFrame, orders: DataFrame,
     tables = {"users": users, "products": products, "orders": orders}
     checks = [("unparseable_date", "users", "signup_date", parse_date("signup_date", signup_fmt).isNull()),
               ("unparseable_date", "orders", "order_date", parse_timestamp("order_date", order_fmt).isNull())]
+    for table, df in tables.items():   # records with too many or too few fields
+        if BAD in df.columns:
+            checks.append(("broken_record", table, "all", _kept(RECORD)))
     for table, column in NUMERIC_COLUMNS:
         dtype = tables[table].schema[column].dataType
         checks += [("not_numeric", table, column, _not_numeric(tables[table], column)),

@@ -55,7 +55,7 @@ def run_cleaning(spark: SparkSession, inputs: dict[str, str], out_dir: str,
                  in_fmt: str = "csv", out_fmt: str = "parquet", exact: bool = True,
                  signup_fmt: str | Sequence[str] = DATE_FORMAT,
                  order_fmt: str | Sequence[str] = TIMESTAMP_FORMAT,
-                 multiline: bool = True) -> dict[str, str]:
+                 multiline: bool | str = "split") -> dict[str, str]:
     """Read the raw tables, clean and write them, then validate and audit.
 
     Writes ``cleaned_<table>`` below ``out_dir`` and, as Parquet, the reports:
@@ -67,15 +67,16 @@ def run_cleaning(spark: SparkSession, inputs: dict[str, str], out_dir: str,
     ends, and everything else starts from there. Counts of the audits, the date
     range and the stage mix are observed while the cleaned orders are written, in
     the writing stage itself, so that a task run again does not count twice.
-    ``multiline=False`` (no line breaks inside fields) lets Spark split CSV files.
+    CSV files are read in splits, with line breaks inside fields (see ``read_csv``
+    for the other values of ``multiline``).
     """
     raw = files.read_tables(spark, inputs, fmt=in_fmt, raw=True, keep_bad=in_fmt == "csv",
                             multiline=multiline)
     raw["orders"] = files.with_arrival_order(raw["orders"], in_fmt)
     out = {name: f"{out_dir.rstrip('/')}/cleaned_{name}" for name in files.TABLES}
-    files.write_table(parse_signup_dates(raw["users"].drop(BAD), "signup_date", signup_fmt),
+    files.write_table(parse_signup_dates(raw["users"].drop(BAD, "_arrival"), "signup_date", signup_fmt),
                       out["users"], out_fmt)
-    prices = raw["products"].drop(BAD)
+    prices = raw["products"].drop(BAD, "_arrival")
     files.write_table(cap_price_outliers(prices, exact=exact), out["products"], out_fmt)
 
     scratch = scratch_path(spark, "first-copies")

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from funnelkit.functions.dates import parse_date, parse_timestamp
 from funnelkit.sources import schemas
-from funnelkit.sources.schemas import BAD
+from funnelkit.sources.records import csv_records
+from funnelkit.sources.schemas import BAD, RECORD
 
 TABLES = ("users", "products", "orders")
 
@@ -29,21 +30,40 @@ def _missing(spark: SparkSession, paths: list[str]) -> list[str]:
     return out
 
 
+def _text_columns(spark: SparkSession, path: str, multiline: bool | str, broken: bool) -> DataFrame:
+    """The file's columns as text, by header name; ``broken`` adds ``_record``, the text of
+    records with too many or too few fields. Split reading adds ``_arrival``."""
+    options = {"quote": '"', "escape": '"', "columnNameOfCorruptRecord": RECORD}
+    names = (spark.read.options(**options, header=True, multiLine=bool(multiline)).csv(path).columns)
+    layout = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    if broken:
+        layout.add(RECORD, T.StringType())
+    if multiline == "split":
+        parsed = F.from_csv("record", ", ".join(f"`{f.name.replace('`', '``')}` string" for f in layout),
+                            {**options, "multiLine": "true"})
+        return (csv_records(spark, path).where(~F.col("first"))
+                .select(parsed.alias("r"), "_arrival").select("r.*", "_arrival"))
+    return spark.read.options(**options, header=True, multiLine=multiline).schema(layout).csv(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,
              timestamp_format: str = schemas.TIMESTAMP_FORMAT,
-             date_format: str = schemas.DATE_FORMAT, multiline: bool = True,
+             date_format: str = schemas.DATE_FORMAT, multiline: bool | str = True,
              keep_bad: bool = False) -> DataFrame:
     """Columns of ``schema`` by header name; a missing one raises, others are ignored.
 
     Everything is read as text and converted: ``3.0`` is a whole number, NaN is
     NULL, text that does not convert is NULL. ``keep_bad`` adds ``_bad``, a map
     from column to such a text (NULL if there is none), which the numeric check
-    of ``validation_report`` counts. Quotes inside quoted fields are doubled, and
-    fields may hold line breaks; ``multiline=False`` gives that up so that one
-    large file can be split among tasks.
+    of ``validation_report`` counts; under ``_record`` it holds the whole text of
+    a record with too many or too few fields, whose missing fields are NULL.
+
+    Quotes inside quoted fields are doubled, and fields may hold line breaks.
+    ``multiline=True`` parses each file in one task, ``"split"`` reads it in as
+    many as Spark likes (see ``records``) and adds ``_arrival``, ``False`` splits
+    too but takes every line break as the end of a record.
     """
-    text = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", multiline).csv(path))
+    text = _text_columns(spark, path, multiline, keep_bad)
     absent = [f.name for f in schema if f.name not in text.columns]
     if absent:
         raise ValueError(f"{path}: no column " + ", ".join(absent))
@@ -71,14 +91,17 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
 
     columns = [value(f).alias(f.name) for f in schema]
     if keep_bad:
-        found = F.filter(F.array(*map(bad, schema)), lambda e: e["value"].isNotNull())
+        whole = F.struct(F.lit(RECORD).alias("key"), F.col(RECORD).alias("value"))
+        found = F.filter(F.array(*map(bad, schema), whole), lambda e: e["value"].isNotNull())
         columns.append(F.when(F.size(found) > 0, F.map_from_entries(found)).alias(BAD))
+    if multiline == "split":
+        columns.append(F.col("_arrival"))
     return text.select(*columns)
 
 
 def read_tables(spark: SparkSession, paths: dict[str, str],
                 fmt: str = "csv", raw: bool = True, keep_bad: bool = False,
-                multiline: bool = True) -> dict[str, DataFrame]:
+                multiline: bool | str = True) -> dict[str, DataFrame]:
     """Read users / products / orders; raise one error naming all missing paths."""
     missing = _missing(spark, [paths[t] for t in TABLES])
     if missing:
@@ -111,8 +134,11 @@ def with_arrival_order(df: DataFrame, fmt: str = "parquet") -> DataFrame:
     """Add ``_arrival`` (struct) that orders rows as they appear in the files.
 
     Parquet: file path and row index. CSV: file path, split start and a
-    per-split increasing id. Must be applied directly on a file read.
+    per-split increasing id. Must be applied directly on a file read. A split
+    read has the column already.
     """
+    if "_arrival" in df.columns:
+        return df
     meta = F.col("_metadata")
     if fmt == "parquet":
         arrival = F.struct(meta.getField("file_path").alias("file"),

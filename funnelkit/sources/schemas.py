@@ -26,6 +26,8 @@ NUMERIC_COLUMNS = (
 
 # map column of the CSV reader: column name -> text that did not convert
 BAD = "_bad"
+# its key for records with too many or too few fields (their whole text)
+RECORD = "_record"
 
 RAW_USERS = T.StructType([
     T.StructField("user_id", T.LongType()),
