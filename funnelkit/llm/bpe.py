@@ -333,6 +333,7 @@ def _codec(shared) -> Codec:
 
 def _encode_batches(shared, full: bool) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
+        w.release_memory()
         codec = _codec(shared)
         for batch in batches:
             for lo, hi, buf, offsets in w.text_blocks(w.texts_of(batch), 1 << 20):
@@ -353,6 +354,7 @@ def _encode_batches(shared, full: bool) -> Callable[[Batches], Batches]:
                         t.decode("utf-8", "replace").encode()).hexdigest() for t in texts]))
                     names.append("decoded_sha256")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            w.release_memory()
     return run
 
 

@@ -12,6 +12,8 @@ probability of about 2**-63 per pair.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -200,6 +202,18 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.n
     return grams, np.searchsorted(doc, np.arange(len(counts) + 1))
 
 
+def release_memory() -> None:
+    """Give back what Arrow and malloc hold for later use.
+
+    Python workers are reused, so without it each carries the largest buffers of
+    all its earlier tasks along.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
 def as_long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
