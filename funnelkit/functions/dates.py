@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from funnelkit.sources.schemas import DATE_FORMAT, TIMESTAMP_FORMAT
 
 
+#: layouts that inference knows; on equal votes the earlier one is tried first
+LAYOUTS = (
+    TIMESTAMP_FORMAT, DATE_FORMAT, "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm",
+    "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "yyyyMMdd",
+    "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "M/d/yyyy",
+    "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "d/M/yyyy",
+    "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy", "dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy",
+    "MMM d, yyyy", "d MMM yyyy",
+)
+#: stands for "the layouts that the column's own values vote for"
+INFER = "infer"
+
+
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelkit.functions.dates import iso_text, parse_date, parse_timestamp
+from funnelkit.functions.dates import INFER, LAYOUTS, iso_text, parse_date, parse_timestamp
 from funnelkit.operators.quantiles import (approx_quantiles, quantile_aggs,
                                           rank_table)
 from funnelkit.sources.schemas import DATE_FORMAT, TIMESTAMP_FORMAT
@@ -255,16 +255,34 @@ def price_correction_log(products: DataFrame, column: str = "base_price",
 
 # ------------------------------------------------------------- dates (C11, C13)
 
+def infer_layouts(df: DataFrame, column: str, layouts: Sequence[str] = LAYOUTS) -> list[str]:
+    """The layouts that fit values of ``column``, most hits first.
+
+    One aggregate over the column counts for each layout the values that it reads
+    (at most ``len(layouts)`` numbers come to the driver). So ``03/01/2024`` is the
+    third of January where the column's other values show that the day comes
+    first, and the first of March otherwise. Values of several layouts are read
+    one by one, in this order. A column that no layout fits gets the first one.
+    """
+    votes = df.agg(*[F.count(parse_timestamp(column, f)).alias(str(i)) for i, f in enumerate(layouts)]).first()
+    order = sorted(range(len(layouts)), key=lambda i: (-votes[i], i))
+    return [layouts[i] for i in order if votes[i]] or [layouts[0]]
+
+
+def _layouts(df: DataFrame, column: str, fmt: str | Sequence[str]) -> str | Sequence[str]:
+    return infer_layouts(df, column) if fmt == INFER else fmt
+
+
 def parse_order_dates(orders: DataFrame, column: str = "order_date",
                       fmt: str | Sequence[str] = TIMESTAMP_FORMAT) -> DataFrame:
-    """Text dates -> TIMESTAMP_NTZ; unparseable text -> NULL."""
-    return orders.withColumn(column, parse_timestamp(column, fmt))
+    """Text dates -> TIMESTAMP_NTZ; unparseable text -> NULL. ``"infer"`` votes (one job)."""
+    return orders.withColumn(column, parse_timestamp(column, _layouts(orders, column, fmt)))
 
 
 def parse_signup_dates(users: DataFrame, column: str = "signup_date",
                        fmt: str | Sequence[str] = DATE_FORMAT) -> DataFrame:
-    """Text dates -> DATE; unparseable text -> NULL."""
-    return users.withColumn(column, parse_date(column, fmt))
+    """Text dates -> DATE; unparseable text -> NULL. ``"infer"`` votes (one job)."""
+    return users.withColumn(column, parse_date(column, _layouts(users, column, fmt)))
 
 
 def normalise_dates(df: DataFrame, column: str,

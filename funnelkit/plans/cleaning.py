@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from funnelkit.functions.dates import INFER
 from funnelkit.operators.clean import (cap_price_outliers, deduplicate, duplicate_sample,
-                                       first_copies, fix_quantities, negative_sample,
+                                       first_copies, fix_quantities, infer_layouts,
+                                       negative_sample,
                                        parse_order_dates, parse_signup_dates,
                                        price_correction_log, quantity_counts)
 from funnelkit.operators.quality import (check_pass, row_checks, stage_counts, stage_rows,
@@ -53,8 +55,8 @@ def clean_tables(users: DataFrame, products: DataFrame, orders: DataFrame,
 
 def run_cleaning(spark: SparkSession, inputs: dict[str, str], out_dir: str,
                  in_fmt: str = "csv", out_fmt: str = "parquet", exact: bool = True,
-                 signup_fmt: str | Sequence[str] = DATE_FORMAT,
-                 order_fmt: str | Sequence[str] = TIMESTAMP_FORMAT,
+                 signup_fmt: str | Sequence[str] = INFER,
+                 order_fmt: str | Sequence[str] = INFER,
                  multiline: bool | str = "split") -> dict[str, str]:
     """Read the raw tables, clean and write them, then validate and audit.
 
@@ -67,13 +69,16 @@ def run_cleaning(spark: SparkSession, inputs: dict[str, str], out_dir: str,
     ends, and everything else starts from there. Counts of the audits, the date
     range and the stage mix are observed while the cleaned orders are written, in
     the writing stage itself, so that a task run again does not count twice.
-    CSV files are read in splits, with line breaks inside fields (see ``read_csv``
+    Date layouts are voted for by the columns' own values (``infer_layouts``) unless
+    named. CSV files are read in splits, with line breaks inside fields (see ``read_csv``
     for the other values of ``multiline``).
     """
     raw = files.read_tables(spark, inputs, fmt=in_fmt, raw=True, keep_bad=in_fmt == "csv",
                             multiline=multiline)
     raw["orders"] = files.with_arrival_order(raw["orders"], in_fmt)
     out = {name: f"{out_dir.rstrip('/')}/cleaned_{name}" for name in files.TABLES}
+    if signup_fmt == INFER:
+        signup_fmt = infer_layouts(raw["users"], "signup_date")
     files.write_table(parse_signup_dates(raw["users"].drop(BAD, "_arrival"), "signup_date", signup_fmt),
                       out["users"], out_fmt)
     prices = raw["products"].drop(BAD, "_arrival")
@@ -84,6 +89,8 @@ def run_cleaning(spark: SparkSession, inputs: dict[str, str], out_dir: str,
         first_copies(raw["orders"]).write.parquet(scratch)
         copies = spark.read.parquet(scratch)
         kept = copies.where("_rn = 1").drop("_rn")
+        if order_fmt == INFER:
+            order_fmt = infer_layouts(kept, "order_date")
         before, after = Observation("kept"), Observation("cleaned")
         watched = kept.observe(before, F.count(F.lit(1)).alias("rows_after"), *quantity_counts())
         clean = clean_kept(watched, order_fmt).observe(

@@ -116,6 +116,12 @@ def parse_dates(spark, sf):
                          .alias("order_date_text"))
 
 
+def parse_dates_inferred(spark, sf):
+    dates = fx.mixed_dates(spark, sf)
+    return clean.parse_order_dates(
+        dates.withColumn("order_date_raw", F.col("order_date")), fmt="infer")
+
+
 def orphan_users(spark, sf):
     return quality.orphans(_cleaned(spark, sf), fx.raw_users(spark, sf),
                            "user_id").select("order_id", "user_id")
@@ -244,6 +250,7 @@ QUERIES: dict[str, Query] = {
     "cap_price_outliers": cap_price_outliers,
     "price_correction_log": price_correction_log,
     "parse_dates": parse_dates,
+    "parse_dates_inferred": parse_dates_inferred,
     "orphan_users": orphan_users,
     "orphan_products": orphan_products,
     "unknown_stages": unknown_stages,

@@ -145,3 +145,15 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("ord2"),
         F.col("l_suppkey").alias("ord3"),
         F.col("l_extendedprice").alias("ord4"))
+
+
+def mixed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates as text in several layouts, days first; some are no dates."""
+    key, when = F.col("o_orderkey"), F.col("o_orderdate")
+    text = F.date_format(when, "dd/MM/yyyy HH:mm:ss")
+    for rest, layout in ((1, "dd/MM/yyyy"), (2, "yyyy-MM-dd HH:mm:ss"), (3, "yyyy-MM-dd"),
+                         (4, "dd.MM.yyyy")):
+        text = F.when(key % 7 == rest, F.date_format(when, layout)).otherwise(text)
+    text = F.when(key % 101 == 0, F.lit("not-a-date")).when(key % 103 == 0, F.lit("31/02/2024")).when(
+        key % 107 == 0, F.lit(None)).otherwise(text)
+    return _read(spark, sf_dir, "orders").select(key.alias("order_id"), text.alias("order_date"))

@@ -186,3 +186,20 @@ def test_outlier_params_match_pandas(spark, values):
     assert r.n_outliers == int(out.sum())
     rest = s[~out].median()
     assert r.replacement_price == pytest.approx(round(rest, 2), abs=0.0101)
+
+
+def test_layouts_are_voted_for_by_the_column(spark):
+    def parsed(values):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, order_date string")
+        out = clean.parse_order_dates(df, fmt="infer").orderBy("i").collect()
+        return [r.order_date and str(r.order_date) for r in out]
+    # the day comes first in one column, the month in the other; a tie reads the month first
+    assert parsed(["03/01/2024", "25/01/2024", None, "x"]) == ["2024-01-03 00:00:00", "2024-01-25 00:00:00", None, None]
+    assert parsed(["03/01/2024", "01/25/2024"]) == ["2024-03-01 00:00:00", "2024-01-25 00:00:00"]
+    assert parsed(["03/01/2024"]) == ["2024-03-01 00:00:00"]
+    # several layouts in one column, value by value
+    assert parsed(["2024-02-29T10:11:12", "29.02.2024", "2024-02-29", "20240229", "2024-02-29 10:11:12", "30.02.2024"]) \
+        == ["2024-02-29 10:11:12", *["2024-02-29 00:00:00"] * 3, "2024-02-29 10:11:12", None]
+    assert parsed([None, "", "never"]) == [None, None, None]
+    empty = spark.createDataFrame([], "order_date string")
+    assert clean.infer_layouts(empty, "order_date") == ["yyyy-MM-dd HH:mm:ss"]
