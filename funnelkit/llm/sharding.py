@@ -1,16 +1,19 @@
 """Sharding by a hierarchical weighted hash tree (operator 10).
 
-The tree has regions, racks and shards; a shard's weight is its share of rows.
-For a key every shard draws an exponential waiting time ``-ln(u) / weight``
-from a hash of key and shard. A rack's draw is the smallest below it, a
-region's the smallest of its racks: again exponential, with the weight of the
-whole subtree, so each level is a weighted draw. A row descends to the region
-with the smallest draw, there to the smallest rack, there to the smallest shard.
-
-A changed weight alters the draws of that shard and of the nodes above it only,
-so rows move only into or out of the subtree whose weight changed; a new shard
-takes rows only into itself. Key and tree decide (law ``key``); nothing else of
-a row matters. Everything is built from DataFrame functions.
+The tree has regions, racks and shards; a node weighs what the shards below it
+weigh together. A row descends level by level: at each node every child draws an
+exponential waiting time ``-ln(u) / weight`` from a hash of the key and the
+child's path, and the smallest draw wins. So a row computes the draws of the
+children on its way only, and each level is a weighted choice.
+
+A heavier shard makes its rack and its region heavier, and nothing else: other
+draws stay, so rows only move into that region, and inside it only into that
+rack, and there only into that shard. A region, rack or shard added beside others
+takes rows from its siblings without moving any between them. In particular one
+more shard that opens a region of its own, as the 41st of ``uniform_tree`` does,
+takes rows only into itself (law ``key``: doc_id and the number of shards
+decide); one that joins a region with others also draws rows to its neighbours
+there. Everything is built from DataFrame functions.
 """
 
 from __future__ import annotations
@@ -38,26 +41,40 @@ def uniform_tree(shards: int, per_rack: int = 4, racks: int = 2) -> list[Leaf]:
     return [Leaf(s, s // (per_rack * racks), s // per_rack) for s in range(shards)]
 
 
-def descend(key: Column, tree: list[Leaf]) -> Column:
-    """Struct (draw, region, rack, shard) of the place that ``key`` falls into."""
+def _choice(key: Column, path: tuple[int, ...], children: dict[int, float]) -> Column:
+    """The child of the node at ``path`` that ``key`` falls into, by weight."""
+    def draw(child: int, weight: float) -> Column:
+        bits = F.shiftrightunsigned(F.xxhash64(key, *map(F.lit, (len(path), *path, child))), 11)
+        wait = -F.log((bits + F.lit(0.5)) / F.lit(2.0**53)) / F.lit(float(weight))
+        return F.struct(wait.alias("draw"), F.lit(child).alias("child"))
+    draws = [draw(c, w) for c, w in children.items()]
+    return F.least(*draws)["child"] if len(draws) > 1 else F.lit(next(iter(children)))
+
+
+def descend(rows: DataFrame, key: Column, tree: list[Leaf], prefix: str = "") -> DataFrame:
+    """``rows`` with the columns region, rack and shard (each with ``prefix``) of ``key``'s place."""
     live = [x for x in tree if x.weight > 0]
     if not live or len({x.shard for x in tree}) != len(tree):
         raise ValueError("a tree needs a positive weight and distinct shards")
-
-    def lowest(nodes: list[Column]) -> Column:
-        return F.least(*nodes) if len(nodes) > 1 else nodes[0]
-
-    def draw(leaf: Leaf) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(leaf.shard)), 11)
-        wait = -F.log((bits + F.lit(0.5)) / F.lit(2.0**53)) / F.lit(float(leaf.weight))
-        return F.struct(wait.alias("draw"), F.lit(leaf.region).alias("region"),
-                        F.lit(leaf.rack).alias("rack"), F.lit(leaf.shard).alias("shard"))
-
-    regions: dict[int, dict[int, list[Leaf]]] = {}
+    below: dict[tuple[int, ...], dict[int, float]] = {}
     for leaf in live:
-        regions.setdefault(leaf.region, {}).setdefault(leaf.rack, []).append(leaf)
-    return lowest([lowest([lowest([draw(x) for x in rack]) for rack in racks.values()])
-                   for racks in regions.values()])
+        way = (leaf.region, leaf.rack, leaf.shard)
+        for depth in range(3):
+            node = below.setdefault(way[:depth], {})
+            node[way[depth]] = node.get(way[depth], 0.0) + leaf.weight
+    names = [f"{prefix}{n}" for n in ("region", "rack", "shard")]
+    rows = rows.withColumn(names[0], _choice(key, (), below[()]))
+    for depth in (1, 2):
+        choice = None
+        for path, children in below.items():
+            if len(path) == depth:
+                here = F.col(names[0]) == path[0]
+                if depth == 2:
+                    here &= F.col(names[1]) == path[1]
+                pick = _choice(key, path, children)
+                choice = F.when(here, pick) if choice is None else choice.when(here, pick)
+        rows = rows.withColumn(names[depth], choice)
+    return rows
 
 
 def shard_documents(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None
@@ -74,13 +91,14 @@ def shard_documents(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.col("doc_id").cast("long")
-    place = descend(key, tree)
-    after = descend(key, grown)["shard"] if grown else F.lit(None)
-    rows = stage(docs.select(key.alias("doc_id"), (F.octet_length(text) + F.lit(16)).cast("long")
-                             .alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-                             place.alias("place"), after.cast("int").alias("grown_shard"))
-                 .select("doc_id", "size", "text_crc32", "place.region", "place.rack",
-                         "place.shard", "grown_shard"), "places")
+    rows = docs.select(key.alias("doc_id"), (F.octet_length(text) + F.lit(16)).cast("long")
+                       .alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = descend(rows, F.col("doc_id"), tree)
+    if grown:
+        rows = descend(rows, F.col("doc_id"), grown, "grown_")
+    else:
+        rows = rows.withColumn("grown_shard", F.lit(None).cast("int"))
+    rows = stage(rows.drop("grown_region", "grown_rack"), "places")
     buckets = max(1, int((rows.count() / len(tree)) ** 0.5))
     bucket = F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.lit("slot")), F.lit(buckets))
     rows = rows.withColumn("bucket", bucket)
