@@ -25,6 +25,7 @@ from funnelkit.session import remove_path, scratch_path
 from funnelkit.sources import files
 from funnelkit.sources.schemas import (BAD, CLEAN_ORDERS, DATE_FORMAT,
                                        TIMESTAMP_FORMAT)
+from funnelkit.sources.versions import new_version, publish
 
 _COUNTS = T.LongType()
 
@@ -57,7 +58,7 @@ def run_cleaning(spark: SparkSession, inputs: dict[str, str], out_dir: str,
                  in_fmt: str = "csv", out_fmt: str = "parquet", exact: bool = True,
                  signup_fmt: str | Sequence[str] = INFER,
                  order_fmt: str | Sequence[str] = INFER,
-                 multiline: bool | str = "split") -> dict[str, str]:
+                 multiline: bool | str = "split", versioned: bool = False) -> dict[str, str]:
     """Read the raw tables, clean and write them, then validate and audit.
 
     Writes ``cleaned_<table>`` below ``out_dir`` and, as Parquet, the reports:
@@ -71,8 +72,15 @@ def run_cleaning(spark: SparkSession, inputs: dict[str, str], out_dir: str,
     the writing stage itself, so that a task run again does not count twice.
     Date layouts are voted for by the columns' own values (``infer_layouts``) unless
     named. CSV files are read in splits, with line breaks inside fields (see ``read_csv``
-    for the other values of ``multiline``).
+    for the other values of ``multiline``). ``versioned`` writes everything to a new
+    folder below ``out_dir`` and publishes it in one step at the end
+    (``versions.published`` gives the paths), so readers never see half a job.
     """
+    if versioned:
+        out = run_cleaning(spark, inputs, new_version(out_dir), in_fmt, out_fmt, exact, signup_fmt,
+                           order_fmt, multiline)
+        publish(spark, out_dir, out)
+        return out
     raw = files.read_tables(spark, inputs, fmt=in_fmt, raw=True, keep_bad=in_fmt == "csv",
                             multiline=multiline)
     raw["orders"] = files.with_arrival_order(raw["orders"], in_fmt)
