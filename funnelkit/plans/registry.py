@@ -65,6 +65,15 @@ def csv_round_trip(spark, sf):
     return files.read_csv(spark, path, CLEAN_ORDERS)
 
 
+def arrival_order(spark, sf):
+    """Raw orders stored as several files in key order, numbered as they stand there."""
+    path = scratch_path(spark, "arrival-order")
+    (fx.raw_orders(spark, sf).repartitionByRange(5, *ARRIVAL).sortWithinPartitions(*ARRIVAL)
+     .write.parquet(path))
+    return files.with_arrival_order(spark.read.parquet(path)).select(
+        "order_id", "ord1", "ord2", "ord3", "_arrival")
+
+
 def table_counts(spark, sf):
     return files.table_counts(users=fx.raw_users(spark, sf),
                               products=fx.raw_products(spark, sf),
@@ -240,6 +249,7 @@ def segment_report_text(spark, sf):
 
 QUERIES: dict[str, Query] = {
     "csv_round_trip": csv_round_trip,
+    "arrival_order": arrival_order,
     "table_counts": table_counts,
     "dedup_orders": dedup_orders,
     "dedup_audit": dedup_audit,

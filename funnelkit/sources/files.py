@@ -7,7 +7,7 @@ checks all paths first so the error lists every missing one at once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,23 +131,27 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
 
 
 def with_arrival_order(df: DataFrame, fmt: str = "parquet") -> DataFrame:
-    """Add ``_arrival`` (struct) that orders rows as they appear in the files.
+    """Add ``_arrival``, which orders rows as they appear in the files.
 
-    Parquet: file path and row index. CSV: file path, split start and a
-    per-split increasing id. Must be applied directly on a file read. A split
-    read has the column already.
+    Parquet: one long, the rows ahead of a row in all files by path: rows per file
+    and their prefix sums (one row per file), plus the row's index in its file. A
+    split CSV read has its line numbers already. CSV files read whole get a
+    struct of file path, split start and a per-split increasing id. Must be
+    applied directly on a file read.
     """
     if "_arrival" in df.columns:
         return df
     meta = F.col("_metadata")
-    if fmt == "parquet":
-        arrival = F.struct(meta.getField("file_path").alias("file"),
-                           meta.getField("row_index").alias("pos"))
-    else:
-        arrival = F.struct(meta.getField("file_path").alias("file"),
-                           meta.getField("file_block_start").alias("block"),
-                           F.monotonically_increasing_id().alias("pos"))
-    return df.withColumn("_arrival", arrival)
+    if fmt != "parquet":
+        return df.withColumn("_arrival", F.struct(
+            meta.getField("file_path").alias("file"), meta.getField("file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("pos")))
+    file = meta.getField("file_path").alias("_file")
+    ahead = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)   # one row per file
+    starts = df.select(file).groupBy("_file").agg(F.count("*").alias("n")).select(
+        "_file", F.coalesce(F.sum("n").over(ahead), F.lit(0).cast("bigint")).alias("_start"))
+    return (df.select("*", file, meta.getField("row_index").alias("_index")).join(starts, "_file")
+            .withColumn("_arrival", F.col("_start") + F.col("_index")).select(*df.columns, "_arrival"))
 
 
 def table_counts(**tables: DataFrame) -> DataFrame:

@@ -40,30 +40,34 @@ def _ended(line: Column) -> Column:
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """``record, first, _arrival``: each record's text, whether it is its file's first, its place.
 
-    ``_arrival`` (file, block, pos of the record's first line) orders records as
-    they stand in the files. Empty lines outside of fields are left out.
+    ``_arrival`` is the number of the record's first line, counted from 0 through
+    all files in the order of their paths: one long that orders records as they
+    stand. Empty lines outside of fields are left out.
     """
     lines = _lines(spark, path)
     in_file = Window.partitionBy("file")
-    splits = (lines.groupBy("file", "block").agg(F.sum("odd").alias("odds"))
+    ever = Window.orderBy("file", "block")   # over one row per split
+    splits = (lines.groupBy("file", "block").agg(F.sum("odd").alias("odds"), F.count("*").alias("n"))
               .withColumn("ahead", F.sum("odds").over(in_file.orderBy("block")) - F.col("odds"))
-              .withColumn("total", F.sum("odds").over(in_file)).drop("odds"))
+              .withColumn("total", F.sum("odds").over(in_file))
+              .withColumn("start", F.sum("n").over(ever) - F.col("n")).drop("odds", "n"))
     in_split = Window.partitionBy("file", "block").orderBy("pos")
     marked = (lines.withColumn("here", F.sum("odd").over(in_split))
-              .withColumn("first", (F.col("block") == 0) & (F.row_number().over(in_split) == 1))
+              .withColumn("nth", F.row_number().over(in_split))
+              .withColumn("first", (F.col("block") == 0) & (F.col("nth") == 1))
               .join(splits, ["file", "block"])
+              .withColumn("line", F.col("start") + F.col("nth") - 1)
               .withColumn("upto", F.col("ahead") + F.col("here")))
     before = F.col("upto") - F.col("odd")
     unclosed = (F.col("total") % 2 == 1) & (F.col("upto") == F.col("total"))
     alone = unclosed | ((before % 2 == 0) & (F.col("odd") == 0))
-    place = F.struct("file", "block", "pos").alias("_arrival")
-    single = (marked.where(alone).select(_ended(F.col("value")).alias("record"), "first", place)
+    single = (marked.where(alone).select(_ended(F.col("value")).alias("record"), "first",
+                                         F.col("line").alias("_arrival"))
               .where("record <> ''"))
     parts = (marked.where(~alone).groupBy("file", F.ceil(F.col("upto") / F.lit(2)).alias("number"))
-             .agg(F.array_sort(F.collect_list(F.struct("block", "pos", "value"))).alias("parts"),
+             .agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("parts"),
                   F.max("first").alias("first")))
-    head = F.col("parts")[0]
     joined = parts.select(
         _ended(F.array_join(F.transform("parts", lambda p: p["value"]), "\n")).alias("record"), "first",
-        F.struct("file", head["block"].alias("block"), head["pos"].alias("pos")).alias("_arrival"))
+        F.col("parts")[0]["line"].alias("_arrival"))
     return single.unionByName(joined)
