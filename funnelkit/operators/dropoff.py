@@ -38,6 +38,11 @@ def checkout_dropoff(orders: DataFrame, users: DataFrame,
         dim = dim.where(segment)
     per_user = flags.join(dim, "user_id").select(
         "user_id", "region", "channel", "_purchased").distinct()
+    return dropoff_of(per_user)
+
+
+def dropoff_of(per_user: DataFrame) -> DataFrame:
+    """:func:`checkout_dropoff` of one row per user (with a checkout) and segment: ``_purchased``."""
     agg = per_user.groupBy("region", "channel").agg(
         F.count(F.lit(1)).alias("checkout_initiated"),
         F.sum("_purchased").cast("bigint").alias("purchased"))
@@ -84,7 +89,12 @@ def worst_segment(dropoff: DataFrame) -> DataFrame:
 def dropoff_segment(orders: DataFrame, users: DataFrame,
                     segment: Column | None = None) -> DataFrame:
     """Drop-off for a segment, with the dashboard's column names."""
-    return _worst_first(checkout_dropoff(orders, users, segment)).select(
+    return dashboard_rows(checkout_dropoff(orders, users, segment))
+
+
+def dashboard_rows(dropoff: DataFrame) -> DataFrame:
+    """Drop-off rows, worst first, with the dashboard's column names."""
+    return _worst_first(dropoff).select(
         "region", "channel",
         F.col("checkout_initiated").alias("checkouts"), "purchased",
         "dropped_off", F.col("dropoff_rate_pct").alias("dropoff_pct"))

@@ -23,7 +23,12 @@ def stage_counts(orders: DataFrame, users: DataFrame | None = None,
         df = df.join(users.select("user_id", "region", "channel"), "user_id")
         if segment is not None:
             df = df.where(segment)
-    return (df.groupBy("order_stage")
+    return counts_of(df)
+
+
+def counts_of(rows: DataFrame) -> DataFrame:
+    """:func:`stage_counts` of any rows with order_id and order_stage."""
+    return (rows.groupBy("order_stage")
             .agg(F.count_distinct("order_id").alias("unique_events"))
             .withColumn("stage_order", stage_order("order_stage")))
 
@@ -61,8 +66,12 @@ def funnel(orders: DataFrame) -> DataFrame:
 def funnel_segment(orders: DataFrame, users: DataFrame,
                    segment: Column | None = None) -> DataFrame:
     """Funnel counts for a segment (orders of unknown users leave) + share %."""
+    return with_share(stage_counts(orders, users, segment))
+
+
+def with_share(counts: DataFrame) -> DataFrame:
+    """Stage counts in order, each with its share of the first one present."""
     w = _ordered()
-    counts = stage_counts(orders, users, segment)
     first = F.first_value("unique_events").over(w)
     share = F.try_divide(F.col("unique_events").cast("double") * F.lit(100.0),
                          first.cast("double"))

@@ -57,12 +57,21 @@ def revenue_by(lines: DataFrame, **keys: Column) -> DataFrame:
         F.grouping_id().alias("_set"), checked_sum("quantity").alias("_q"),
         F.min("_day").alias("_first"), F.max("_day").alias("_last"))
     by_price = F.col("_set") % 4 == 1      # the order was summed away, the price not
-    digits = F.when(by_price, price_digits("base_price"))
-    endless = by_price & (F.abs("base_price") == float("inf"))
+    return revenue_of(parts.select(
+        *names, F.when(by_price, F.col("base_price")).alias("base_price"),
+        F.when(by_price, F.col("_q")).alias("_q"),
+        (~by_price & F.col("order_id").isNotNull()).alias("_order"), "_first", "_last"), *names)
+
+
+def revenue_of(parts: DataFrame, *names: str) -> DataFrame:
+    """:func:`revenue_by` from partial rows: a price with its summed quantity ``_q``, or an
+    order (``_order``), each with the ``_first`` and ``_last`` day of its lines."""
+    digits = price_digits("base_price")
+    endless = F.abs("base_price") == float("inf")
     terms = parts.select(
         *names, digits["e"].alias("_e"), price_product("_q", digits).alias("_t"),
         F.when(endless, F.col("_q") * F.col("base_price")).alias("_endless"),
-        (~by_price & F.col("order_id").isNotNull()).alias("_order"), "_first", "_last")
+        "_order", "_first", "_last")
     by_power = terms.groupBy(*names, "_e").agg(
         F.sum("_t").cast("decimal(38,0)").alias("_t"), F.sum("_endless").alias("_endless"),
         F.count_if("_order").alias("_orders"), F.min("_first").alias("_first"), F.max("_last").alias("_last"))
@@ -75,7 +84,7 @@ def revenue_by(lines: DataFrame, **keys: Column) -> DataFrame:
     return out.withColumn("revenue", F.coalesce("_endless", money("_amount"))).drop("_endless")
 
 
-def _week_keys(iso_year: bool) -> tuple[Column, Column]:
+def week_keys(iso_year: bool = False) -> tuple[Column, Column]:
     ts = F.col("order_date")
     year = (F.expr("extract(YEAROFWEEK FROM order_date)") if iso_year
             else F.year(ts))
@@ -92,7 +101,7 @@ def weekly_kpis(orders: DataFrame, products: DataFrame, iso_year: bool = False,
     application's grouping); ``iso_year=True`` groups by ISO week-year.
     """
     lines = purchased_lines(orders, products, users, segment)
-    year, week = _week_keys(iso_year)
+    year, week = week_keys(iso_year)
     agg = revenue_by(lines, year=year, week_num=week)
     whole = F.abs("revenue") < float("inf")
     return agg.select(
@@ -135,7 +144,7 @@ def weekly_revenue(orders: DataFrame, products: DataFrame, users: DataFrame,
                    segment: Column | None = None) -> DataFrame:
     """Per (year, week): first order date, revenue and a text label."""
     lines = purchased_lines(orders, products, users, segment)
-    year, week = _week_keys(False)
+    year, week = week_keys(False)
     agg = revenue_by(lines, year=year, week_num=week)
     return agg.select("year", "week_num", "week_start", "revenue",
                       F.col("week_start").cast("string").alias("week_label"))
