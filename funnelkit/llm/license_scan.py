@@ -31,6 +31,8 @@ Batches = Iterator[pa.RecordBatch]
 #: shingle words, and MinHashes in a band: templates are short, and windows that share no shingle
 #: with one agree on no MinHash, so bands of one row retrieve best
 K, ROWS = 5, 1
+#: windows of a text that are looked at together
+PIECE = 1 << 14
 #: template table rows that may be shared with the executors
 MAX_TEMPLATES = 10_000
 
@@ -108,18 +110,24 @@ class Templates:
 
     def scan(self, grams: np.ndarray) -> dict[int, tuple[float, int]]:
         """{template: (share, window start)} of the best verified window of one text."""
-        n = len(grams)
-        if not n:
-            return {}
-        cuts = np.arange(0, n, self.step)
-        reach = self.reach
-        low = self.minima(grams, cuts)
-        total = max(1, len(cuts) - reach + 1)
-        wins = low[:, :total]
-        for r in range(1, min(reach, len(cuts))):
-            wins = np.minimum(wins, low[:, r:r + total])
-        keys = self.keys(wins)
         found: dict[int, tuple[float, int]] = {}
+        blocks = -(-len(grams) // self.step)
+        total = max(1, blocks - self.reach + 1) if blocks else 0
+        for a in range(0, total, PIECE):   # so many windows at a time: memory is that of a piece
+            b = min(a + PIECE, total)
+            self._scan_piece(grams, a, b, found)
+        return {t: (share, -at) for t, (share, at) in found.items()}
+
+    def _scan_piece(self, grams: np.ndarray, a: int, b: int, found: dict[int, tuple[float, int]]
+                    ) -> None:
+        """Windows a to b - 1; window i is the blocks from i on."""
+        step, reach = self.step, self.reach
+        own = grams[a * step:(b + reach - 1) * step]
+        low = self.minima(own, np.arange(0, len(own), step))
+        wins = low[:, :b - a]
+        for r in range(1, min(reach, low.shape[1])):
+            wins = np.minimum(wins, low[:, r:r + b - a])
+        keys = self.keys(wins)
         tried = set()
         for band in range(self.bands):
             for i in np.flatnonzero(self._hits(keys[band], self.probe[band])).tolist():
@@ -127,21 +135,36 @@ class Templates:
                     if (t, i) in tried:
                         continue
                     tried.add((t, i))
-                    part = grams[i * self.step:i * self.step + reach * self.step]
+                    part = own[i * step:(i + reach) * step]
                     share = len(np.intersect1d(self.sets[t], part)) / len(self.sets[t])
                     if share >= self.contain:
                         best = found.get(t, (0.0, 0))
-                        found[t] = max(best, (share, -i * self.step))
-        return {t: (share, -at) for t, (share, at) in found.items()}
+                        found[t] = max(best, (share, -(a + i) * step))
 
 
-def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(5-gram hashes, cuts per text) in text order."""
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, first word of each text)."""
     buf, offsets = w.string_buffer(texts)
     starts, ends, first = w.find_words(buf, offsets, SEPARATORS)
-    hashes = w.hash_words(buf, starts, ends, w.BYTE_VALUES_LOWER)
-    index, doc = w.gram_rows(first, K)
-    return w.hash_grams(hashes, K)[index], np.searchsorted(doc, np.arange(len(offsets)))
+    return w.hash_words(buf, starts, ends, w.BYTE_VALUES_LOWER), first
+
+
+def _grams(words: tuple[np.ndarray, np.ndarray], k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """(k-gram hashes, cuts per text) in text order."""
+    hashes, first = words
+    index, doc = w.gram_rows(first, k)
+    return w.hash_grams(hashes, k)[index], np.searchsorted(doc, np.arange(len(first)))
+
+
+def short_templates(rows: list[tuple[str, str]]) -> dict[int, dict[int, list[str]]]:
+    """Templates of 1 to ``K - 1`` words: {words: {hash of the whole: names}}."""
+    out: dict[int, dict[int, list[str]]] = {}
+    for name, text in rows:
+        hashes, _ = _words(pa.array([text], pa.string()))
+        if 0 < len(hashes) < K:
+            key = int(w.hash_grams(hashes, len(hashes))[0])
+            out.setdefault(len(hashes), {}).setdefault(key, []).append(name)
+    return out
 
 
 def length_classes(rows: list[tuple[str, str]], contain: float, certainty: float
@@ -149,7 +172,7 @@ def length_classes(rows: list[tuple[str, str]], contain: float, certainty: float
     """Templates by length: within a class the longest is at most a quarter longer."""
     if not rows:
         return []
-    grams, cuts = _grams(pa.array([text for _, text in rows], pa.string()))
+    grams, cuts = _grams(_words(pa.array([text for _, text in rows], pa.string())))
     sized = sorted((int(b - a) + K - 1, name, np.unique(grams[a:b]))
                    for (name, _), a, b in zip(rows, cuts[:-1], cuts[1:], strict=True) if b > a)
     out, group = [], []
@@ -165,13 +188,24 @@ def length_classes(rows: list[tuple[str, str]], contain: float, certainty: float
 
 def _scan(shared) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
-        classes = shared.value
+        classes, short = shared.value
         for batch in batches:
             at, name, share, start, size = [], [], [], [], []
             for lo, hi, _, _ in w.text_blocks(batch.column("text")):
-                grams, cuts = _grams(batch.column("text").slice(lo, hi - lo))
+                words = _words(batch.column("text").slice(lo, hi - lo))
+                grams, cuts = _grams(words)
+                exact = [(m, keys, *_grams(words, m)) for m, keys in short.items()]
                 bounds = cuts.tolist()
                 for i in range(hi - lo):
+                    for m, keys, whole, ends in exact:
+                        part = whole[ends[i]:ends[i + 1]]
+                        for key in set(part[np.isin(part, list(keys))].tolist()):
+                            for label in keys[key]:
+                                at.append(lo + i)
+                                name.append(label)
+                                share.append(1.0)
+                                start.append(int(np.flatnonzero(part == w.U(key))[0]))
+                                size.append(m)
                     own = grams[bounds[i]:bounds[i + 1]]
                     for group in classes:
                         for t, (part, begin) in group.scan(own).items():
@@ -194,8 +228,8 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, contain:
 
     One row per document and template found in its ``text``: the window with the
     highest containment (the first of several). ``templates(name, text)``
-    defaults to ``TEMPLATES``; shorter ones than five words are ignored, as are
-    NULL texts; equal names are templates of their own; at most
+    defaults to ``TEMPLATES``; those of one to four words are found where they stand
+    word for word, NULL texts and texts without words are ignored; equal names are templates of their own; at most
     ``MAX_TEMPLATES`` rows, as the band table is shared with every task. NULL,
     empty and shorter documents contain nothing. Repeated rows give repeated
     results, an empty table none.
@@ -209,7 +243,8 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, contain:
             .limit(MAX_TEMPLATES + 1).collect()]
         if len(rows) > MAX_TEMPLATES:
             raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    shared = spark.sparkContext.broadcast(length_classes(sorted(rows), contain, certainty))
+    shared = spark.sparkContext.broadcast(
+        (length_classes(sorted(rows), contain, certainty), short_templates(sorted(rows))))
     source = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
     kind = source.schema["row"].dataType.simpleString()
     return source.mapInArrow(_scan(shared), f"row {kind}, license string, containment double, "

@@ -70,3 +70,43 @@ def test_empty_and_extra_columns(spark):
     assert tuple(got.row) == (1, ls.TEMPLATES["MIT-line"], 3, "r") and got.license == "MIT-line"
     with pytest.raises(ValueError):
         ls.scan_licenses(df, spark.range(ls.MAX_TEMPLATES + 1).selectExpr("'n' AS name", "'t' AS text"))
+
+
+def test_pieces_change_nothing(spark, monkeypatch):
+    """A text of many pieces, notices across their edges; memory is that of a piece."""
+    rnd = random.Random(8)
+    words = [f"w{rnd.randrange(500)}" for _ in range(30_000)]
+    for name in sorted(ls.TEMPLATES):
+        at = rnd.randrange(len(words))
+        words[at:at] = ls.TEMPLATES[name].split()
+    classes = ls.length_classes(sorted(ls.TEMPLATES.items()), 0.8, 0.999)
+    import pyarrow as pa
+    grams, _ = ls._grams(ls._words(pa.array([" ".join(words)])))
+    whole = [c.scan(grams) for c in classes]
+    monkeypatch.setattr(ls, "PIECE", 7)
+    assert [c.scan(grams) for c in classes] == whole
+    assert sum(map(len, whole)) >= len(ls.TEMPLATES)
+
+
+def test_memory_of_a_long_text():
+    import tracemalloc
+
+    import numpy as np
+    classes = ls.length_classes(sorted(ls.TEMPLATES.items()), 0.8, 0.999)
+    grams = np.random.default_rng(1).integers(0, 2**63, 3_000_000).astype(np.uint64)
+    tracemalloc.start()
+    for c in classes:
+        c.scan(grams)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6, peak
+
+
+def test_short_templates_stand_word_for_word(spark):
+    templates = spark.createDataFrame([("two", "MIT licensed"), ("one", "AGPL"), ("same", "mit Licensed"), ("none", "--")],
+                                      "name string, text string")
+    df = spark.createDataFrame([(1, "this is MIT-licensed, not agpl."), (2, "licensed mit"), (3, "AGPLv3"), (4, None)],
+                               "doc_id long, text string")
+    got = sorted((r.row.doc_id, r.license, r.containment, r.window_start, r.window_words)
+                 for r in ls.scan_licenses(df, templates).collect())
+    assert got == [(1, "one", 1.0, 5, 1), (1, "same", 1.0, 2, 2), (1, "two", 1.0, 2, 2)]
