@@ -45,7 +45,7 @@ WIDTH, STEP = 80, 40
 #: labelled windows of each kind (and of none) that train the model
 SNIPPETS = 300
 HIDDEN = 16
-EPOCHS = 7
+EPOCHS = 12
 #: windows decoded together
 BLOCK = 1024
 
