@@ -98,3 +98,39 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, "a b", "a", 1, "x"), (2, "c d", "b", 2, "y")], schema)
     got = sorted(tuple(r) for r in mixing.mixed_documents(df, weights=(3.0, 1.0)).collect())
     assert [g[0] for g in got].count(1) in (1, 2) and df.columns == mixing.mixed_documents(df).columns
+
+
+@pytest.mark.parametrize("seed, use_odds", [(1, False), (2, True)])
+def test_equals_a_plain_sorted_sample(spark, seed, use_odds):
+    """Documents by rank; each enters if it still fits: the whole sample, one document per source aside."""
+    from pyspark.sql import functions as F
+    rows = [(d, t, s, 0.2 + (d or 0) % 7) for d, t, s in corpus(seed)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, odds double").repartition(4)
+    out = mixing.mix_sources(df, odds="odds" if use_odds else None, seed=5).collect()
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col("doc_id"), F.col("text")), 11)
+    drawn = {}
+    for r in df.select("*", bits.alias("bits")).collect():
+        drawn[r.doc_id, r.text, r.source] = (r.bits + 0.5) / 2.0**53
+    size, got = collections.Counter(), collections.defaultdict(list)
+    for _, t, s, _ in rows:
+        size[s] += len(WORD.findall(t or ""))
+    for r in out:
+        got[r.row.source].append((r.row.doc_id, r.row.text, r.size, r.row.odds, r.copies))
+    for s, want in targets(size).items():
+        whole = int(want // size[s]) if size[s] else 0
+        left = want - whole * size[s]
+        part = left / size[s] if size[s] else 0.0
+        taken, extra = 0, []
+        docs = [x for x in got[s] if x[2] > 0]
+        if part > 0:
+            def rank(x):
+                u = drawn[x[0], x[1], s]
+                return (u / (1 - u)) / ((x[3] if use_odds else 1.0) * part / (1 - part))
+            for x in sorted(docs, key=lambda x: (rank(x), x[2])):
+                if x[2] <= left - taken:
+                    taken += x[2]
+                    extra.append(x[:2])
+        plain = collections.Counter(extra)
+        mixed = collections.Counter(x[:2] for x in docs for _ in range(x[4] - whole))
+        assert not plain - mixed, s
+        assert sum((mixed - plain).values()) <= 1, s   # overshooting by one document is nearer
