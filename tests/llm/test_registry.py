@@ -71,3 +71,58 @@ def test_pipeline_stages(spark):
     assert out.count() == mixed.count()
     want = sorted(tuple(r) for r in out.collect())
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SF_SMALL).collect()) == want
+
+
+def _folder(spark, tmp_path, docs, schema, labels):
+    folder = str(tmp_path)
+    spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_whole_pipeline_against_plain_steps(spark, tmp_path):
+    """One source and no toxic label: what stays, and its tokens, follow from the plain versions alone.
+
+    NULL and empty texts, near copies, shared passages, columns with clashing names.
+    """
+    import hashlib
+    import random
+
+    import numpy as np
+    tokenizers = pytest.importorskip("tokenizers")
+    from funnelkit.llm.bpe import tokenizer_path
+    rnd = random.Random(9)
+    vocab = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rnd.choice(vocab) for _ in range(rnd.randrange(1, 120))) for _ in range(40)]
+    texts += [t + " tail" for t in texts[:8] if len(t.split()) > 40] + texts[8:12]
+    shared = " ".join(rnd.choice(vocab) for _ in range(30))
+    texts += [f"{texts[20 + i]}\n{shared}  {texts[30 + i]} naïve" for i in range(5)] + [None, "", " \n ", "one"]
+    docs = [(i, t, "en", "a", len(t or ""), "row", i, 0.5) for i, t in enumerate(texts)]
+    folder = _folder(spark, tmp_path, docs, "doc_id long, text string, lang string, source string, n_chars long, "
+                     "row string, size long, u double", [(i, 1, 0) for i in range(0, len(texts), 2)])
+    out = sorted(tuple(r) for r in corpus_pipeline.run(spark, folder).collect())
+    kept = [(d, texts[d]) for d, n, low in linked([(i, t) for i, t in enumerate(texts)]) if not n or d == low]
+    library = tokenizers.Tokenizer.from_file(tokenizer_path())
+    seen, want = {}, []
+    for d, t in sorted(kept):
+        for i in range(len(WORD.findall(t or "")) - 19):
+            seen.setdefault(tuple(WORD.findall(t)[i:i + 20]), (d, i))
+    for d, t in kept:
+        ws, gone = WORD.findall(t or ""), set()
+        for i in range(len(ws) - 19):
+            if seen[tuple(ws[i:i + 20])] < (d, i):
+                gone.update(range(i, i + 20))
+        t = " ".join(x for i, x in enumerate(ws) if i not in gone) if gone else t
+        if WORD.findall(t or ""):      # empty texts are never drawn; the rest is taken once
+            ids = library.encode(t, add_special_tokens=False).ids
+            want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(
+                library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert len(want) < len(texts) - 8 and out == sorted(want)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    folder = _folder(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long", [])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        assert step(spark, docs, folder).columns == docs.columns
+    assert corpus_pipeline.run(spark, folder).collect() == []
