@@ -2,6 +2,11 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns the next stage's documents, the last one its result.
+
+NULL and empty texts pass the first three stages as they are; source mix draws
+none of them. Repeated rows are judged one by one (near copies keep the smallest
+doc_id, repeated passages the first start). Other columns of ``documents`` travel
+along, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
