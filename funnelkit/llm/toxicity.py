@@ -174,12 +174,12 @@ def _log_ratio(kind: str, total: Row, own: bool, near: bool, far: bool) -> Colum
     return F.log(out[0] / out[1])
 
 
-def fit_models(labelled: DataFrame, rows: int | None = None, least: int = 2
+def fit_models(labelled: DataFrame, rows: int | None = None
                ) -> tuple[Model | Tables, Model | Tables]:
     """(without the calibration fold, of everything) from labelled(text, grp).
 
-    A word's own counts are used from ``least`` occurrences on (1 keeps all, as
-    ``score_documents`` does); rarer words always count as types. ``Tables`` if the model has more than ``rows`` (``MODEL_ROWS``) rows.
+    Every word keeps its own counts, words seen once too. ``Tables`` if the model
+    has more than ``rows`` (``MODEL_ROWS``) rows.
     """
     vocabulary = stage(labelled.mapInArrow(
         _count, "word long, p7 long, p5 long, f0 long, f1 long, c0 long, c1 long")
@@ -201,12 +201,10 @@ def fit_models(labelled: DataFrame, rows: int | None = None, least: int = 2
     total = total.first()
     kinds = [k for k in ("f", "a") if total[k + "0"] and total[k + "1"]]
 
-    often = F.col("a0") + F.col("a1") >= least
-
     def ratios(table: DataFrame, key: str, *known: bool) -> DataFrame:
         return stage(table.select(F.col(key).alias("key"), *[
             _log_ratio(k, total, *known).alias(k) for k in kinds]), "ratios")
-    tables = [ratios(vocabulary.where(often).join(near.drop("p5"), "p7").join(far, "p5"),
+    tables = [ratios(vocabulary.join(near.drop("p5"), "p7").join(far, "p5"),
                      "word", True, True, True),
               ratios(near.join(far, "p5"), "p7", False, True, True),
               ratios(far, "p5", False, False, True)]
@@ -335,7 +333,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = docs.select(own.alias("own"), text).join(
         sized(marks), F.col("own") == F.col("id")).select(
         "text", "id", "toxic", (part + F.col("toxic")).cast("int").alias("grp"))
-    trial, final = fit_models(labelled.select("text", "grp"), least=1)
+    trial, final = fit_models(labelled.select("text", "grp"))
 
     tests = marks.where(fold(F.col("id")) == 1)
     every = max(1, -(-tests.count() // CALIBRATION_ROWS))

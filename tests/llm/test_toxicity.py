@@ -101,8 +101,7 @@ def test_ratios_equal_a_plain_model(spark):
         q = max(types[5][c].get(x[:5], 0) - d, 0) / v + d * len(types[5][c]) / v * q
         q *= (s7 + 0.5) / (s5 + 1)
         q = max(types[7][c].get(x[:7], 0) - d, 0) / v + d * len(types[7][c]) / v * q
-        seen = tokens[0].get(x, 0) + tokens[1].get(x, 0) >= 2
-        own = tokens[c].get(x, 0) if seen else 0
+        own = tokens[c].get(x, 0)
         return max(own - d, 0) / n + d * v / n * q / (s7 + 1)
 
     probe = ["snark", "blarg", "zzgrumti", "zzgrumxx", "an", "tionre", "never", "onhastou"]
@@ -117,7 +116,7 @@ def test_words_and_prefixes_are_not_merged(spark):
     clean = ["%07x" % rnd.randrange(16**7) for _ in range(400_000)]
     rows = [(" ".join(clean[i:i + 1000]), 0) for i in range(0, len(clean), 1000)]
     rows += [("qqrarely once " + "plain " * 50, 1), ("plain " * 50, 0)]
-    _, model = tx.fit_models(spark.createDataFrame(rows, "text string, grp int").repartition(4), least=1)
+    _, model = tx.fit_models(spark.createDataFrame(rows, "text string, grp int").repartition(4))
     buf, off = w.string_buffer(pa.array(["qqrarely", "qqrarelx", "zzzzzzz"]))
     once, like, never = model.ratios(tx.word_keys(buf, off)[0])
     words = {x for t, _ in rows for x in t.split()}
