@@ -30,6 +30,9 @@ TREND_CHANNELS = ["AUTOMOBILE", "BUILDING"]
 FUNNEL_REGIONS = ["AMERICA"]
 FUNNEL_CHANNELS = ["MACHINERY", "HOUSEHOLD"]
 DROPOFF_REGIONS = ["EUROPE", "AFRICA", "MIDDLE EAST"]
+# Lines in one file of ``arrival_order``, which one task sorts; at least so many files.
+FILE_LINES = 500_000
+LEAST_FILES = 5
 
 
 def _deduped(spark, sf):
@@ -66,9 +69,13 @@ def csv_round_trip(spark, sf):
 
 
 def arrival_order(spark, sf):
-    """Raw orders stored as several files in key order, numbered as they stand there."""
+    """Raw orders stored as several files in key order, numbered as they stand there.
+
+    The files grow in number with the lines, not in size, so no task sorts more.
+    """
     path = scratch_path(spark, "arrival-order")
-    (fx.raw_orders(spark, sf).repartitionByRange(5, *ARRIVAL).sortWithinPartitions(*ARRIVAL)
+    n_files = max(LEAST_FILES, -(-fx.count_lines(spark, sf) // FILE_LINES))
+    (fx.raw_orders(spark, sf).repartitionByRange(n_files, *ARRIVAL).sortWithinPartitions(*ARRIVAL)
      .write.parquet(path))
     return files.with_arrival_order(spark.read.parquet(path)).select(
         "order_id", "ord1", "ord2", "ord3", "_arrival")

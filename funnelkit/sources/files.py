@@ -134,8 +134,8 @@ def with_arrival_order(df: DataFrame, fmt: str = "parquet") -> DataFrame:
     """Add ``_arrival``, which orders rows as they appear in the files.
 
     Parquet: one long, the rows ahead of a row in all files by path: rows per file
-    and their prefix sums (one row per file), plus the row's index in its file. A
-    split CSV read has its line numbers already. CSV files read whole get a
+    and their prefix sums (one row per file, broadcast, so that no file's rows meet in
+    one task), plus the row's index in its file. A split CSV read has its line numbers already. CSV files read whole get a
     struct of file path, split start and a per-split increasing id. Must be
     applied directly on a file read.
     """
@@ -150,7 +150,7 @@ def with_arrival_order(df: DataFrame, fmt: str = "parquet") -> DataFrame:
     ahead = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)   # one row per file
     starts = df.select(file).groupBy("_file").agg(F.count("*").alias("n")).select(
         "_file", F.coalesce(F.sum("n").over(ahead), F.lit(0).cast("bigint")).alias("_start"))
-    return (df.select("*", file, meta.getField("row_index").alias("_index")).join(starts, "_file")
+    return (df.select("*", file, meta.getField("row_index").alias("_index")).join(F.broadcast(starts), "_file")
             .withColumn("_arrival", F.col("_start") + F.col("_index")).select(*df.columns, "_arrival"))
 
 

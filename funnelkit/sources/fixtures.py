@@ -81,6 +81,11 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
 
 
+def count_lines(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of ``lineitem``, as the footers of its files give them."""
+    return _read(spark, sf_dir, "lineitem").count()
+
+
 def clean_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customers_with_region(spark, sf_dir).select(
         F.col("c_custkey").alias("user_id"),

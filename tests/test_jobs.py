@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from funnelkit.operators import clean, dropoff, quality
 from funnelkit.plans.cleaning import run_cleaning
 from funnelkit.sources import files
+from funnelkit.sources import fixtures as fx
 from funnelkit.sources.schemas import RAW_ORDERS
 from funnelkit.streaming import clean_batches
 from tests.conftest import rows
@@ -174,6 +175,37 @@ def test_arrival_order_across_files(spark, tmp_path):
     assert sorted(rows(kept, "order_id", "user_id")) == [(1, 10), (2, 20), (3, 30)]
 
 
+def test_arrival_order_joins_no_rows_by_file(spark, tmp_path):
+    """A file's rows stay where they are read: its start comes to them, at any size."""
+    path, limit = str(tmp_path / "rows"), "spark.sql.autoBroadcastJoinThreshold"
+    spark.range(90).repartitionByRange(3, "id").sortWithinPartitions("id").write.parquet(path)
+    old = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "-1")   # as beyond the limit
+        df = files.with_arrival_order(spark.read.parquet(path))
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert sorted(rows(df)) == [(i, i) for i in range(90)]
+    finally:
+        spark.conf.set(limit, old)
+
+
+def test_arrival_order_sorts_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    from funnelkit.plans import registry
+    monkeypatch.setattr(registry, "FILE_LINES", 20, raising=False)
+    keys, sf = range(1, 201), str(tmp_path)
+    spark.createDataFrame([(k, 1, "O", 1.0, None, "5-LOW") for k in keys], fx.TABLE_SCHEMAS["orders"]
+                          ).write.parquet(f"{sf}/orders.parquet")
+    spark.createDataFrame([(k, k % 9, 1, n, 5.0, 2.5, 0.0, 0.0, "N", "O", None) for k in keys for n in (1, 2)],
+                          fx.TABLE_SCHEMAS["lineitem"]).write.parquet(f"{sf}/lineitem.parquet")
+    df = registry.arrival_order(spark, sf)
+    stored = spark.read.parquet(*df.inputFiles())
+    sizes = [r["count"] for r in stored.groupBy("_metadata.file_path").count().collect()]
+    assert sum(sizes) == 400 and max(sizes) < 60   # fixed files held 80 or more
+    assert sorted(rows(df, "_arrival", "order_id", "ord1")) == [
+        (2 * (k - 1) + n - 1, k, n) for k in keys for n in (1, 2)]
+
+
 def _reports(spark, out):
     return {k: sorted(rows(spark.read.parquet(v)), key=str) for k, v in out.items()
             if k not in files.TABLES}
