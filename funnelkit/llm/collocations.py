@@ -8,17 +8,22 @@ counts of all shorter phrases are marginals of the longest: Spark's ROLLUP over
 language is the number of words. No n-gram is exploded.
 
 Texts become pieces at ``[.,;:!?]`` and line breaks (U+000A to U+000D), pieces
-words at blanks and tabs, A-Z is read as a-z. A phrase that occurs ``least``
-times has parts that do, so what stays behind the ROLLUP holds every part that
-a score needs, and is at most a ``least``-th of the words per order.
+words at blanks and tabs, A-Z is read as a-z. Tasks find and hash the words of a
+few MB of texts at once (see ``words``), and equal windows of such a block leave it
+as one row with their number. A phrase that occurs ``least`` times has parts that
+do, so what stays behind the ROLLUP holds every part that a score needs, and is at
+most a ``least``-th of the words per order.
 
 Most long phrases are rare and would fill the shuffle. So occurrences are first
 counted by hash bucket, and a window ends before its k-th word if the bucket of its
 first k words holds fewer than ``least``. A bucket counts at least what each of its
 phrases does, so no phrase that reaches ``least`` loses a window: the filter
-never changes a result. It is one bit a bucket, 2**FILTER_BITS of them, broadcast
-(16 MB at 27); where far more phrases than buckets exist it cuts little, and the
-shuffle of the windows grows towards one row per distinct window.
+never changes a result, and words are compared as text. For the count the buckets
+form blocks; a task sends two bytes per occurrence to the block's row, and no more
+than ``least`` of one bucket at a time. The filter is one bit a bucket,
+2**FILTER_BITS of them, broadcast (16 MB at 27); where far more phrases than buckets
+exist it cuts little, and the shuffle of the windows grows towards one row per
+distinct window.
 
 Every shuffle is pre-aggregated: a word that is a third of the corpus arrives
 as one row per task. Ranks are taken per (lang, salt) first, so a language that
@@ -27,73 +32,179 @@ hints; Spark broadcasts by measured size and splits skewed keys.
 
 Defined results: NULL and empty texts have no words; a NULL lang is ``und`` and
 merges with that name; repeated rows count each time; ties rank by phrase in
-UTF-8 byte order; an empty table gives no rows; other columns are not read. A
-text of any length is cut in the JVM, its words held once.
+UTF-8 byte order; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from funnelkit.llm import words as w
 from funnelkit.llm.shared import stage
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PIECE_ENDS = r"[.,;:!?\x0A-\x0D]"
-WORD_ENDS = r"[\x20\x09]+"
+Batches = Iterator[pa.RecordBatch]
+#: bytes that end a piece: .,;:!? and U+000A to U+000D
+PIECE_ENDS = np.zeros(256, dtype=bool)
+PIECE_ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
+#: bytes that end a word: those, blank and tab
+WORD_ENDS = PIECE_ENDS.copy()
+WORD_ENDS[list(b" \t")] = True
+#: A-Z as a-z
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: bytes of texts that are cut at once
+TEXT_BYTES = 1 << 22
 #: the filter of rare phrases has 2**FILTER_BITS buckets
 FILTER_BITS = 27
+#: a block holds 2**BLOCK_BITS buckets (places of two bytes)
+BLOCK_BITS = 15
+#: occurrences a task gathers before it sends them to their blocks
+HELD = 1 << 22
 #: groups that a language's ranking is split into before its last step
 SALTS = 32
 
 
-def lead_windows(docs: DataFrame, width: int) -> DataFrame:
-    """``lang, w1 .. w_width``: one row per word, NULL columns beyond its piece."""
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
-    pieces = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
-                         F.explode(F.split(text, PIECE_ENDS)).alias("piece"))
-    words = (pieces.withColumn("piece", F.btrim("piece", F.lit(" \t"))).where("piece <> ''")
-             .select("lang", F.split("piece", WORD_ENDS).alias("words")))
-    columns = [F.col("words") if k == 0 else F.slice("words", k + 1, F.size("words"))
-               for k in range(width)]
-    return words.select("lang", F.inline(F.arrays_zip(*columns))).toDF(
-        "lang", *[f"w{k + 1}" for k in range(width)])
+def _cut(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
+    """Blocks of texts as ``(words, langs, of, buckets)``.
 
+    Lower-cased words, the distinct langs and each word's index there; per order from 2
+    the bucket of the words that start at each word, -1 where the piece has fewer.
+    """
+    langs = batch.column("lang").dictionary_encode()
+    codes = langs.indices.to_numpy()
+    names, edges = w.string_buffer(langs.dictionary)
+    salt = w.hash_words(names, edges[:-1], edges[1:])
+    for lo, hi, buf, offsets in w.text_blocks(batch.column("text"), TEXT_BYTES):
+        starts, ends, first = w.find_words(buf, offsets, WORD_ENDS)
+        n = len(starts)
+        if not n:
+            continue
+        doc = np.repeat(np.arange(hi - lo), np.diff(first))
+        piece = np.searchsorted(np.flatnonzero(PIECE_ENDS[buf]), starts) + doc
+        hashes = w.hash_words(buf, starts, ends, w.BYTE_VALUES_LOWER)
+        of = codes[lo:hi][doc]
+        buckets = []
+        for k in range(2, width + 1):
+            bucket = np.full(n, -1, dtype=np.int64)
+            if n >= k:
+                places = (w.hash_grams(hashes, k) ^ salt[of[:n - k + 1]]) >> w.U(64 - FILTER_BITS)
+                bucket[:n - k + 1] = np.where(piece[k - 1:] == piece[:n - k + 1], places.view(np.int64), -1)
+            buckets.append(bucket)
+        edges = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
+        words = pa.Array.from_buffers(pa.string(), n, [
+            None, pa.py_buffer(edges), pa.py_buffer(LOWER[buf[~WORD_ENDS[buf]]])])
+        yield words, langs.dictionary, of, buckets
+
+
+def _packed(held: list[np.ndarray], least: int) -> pa.RecordBatch:
+    """A row per block: the places of its buckets, each up to ``least`` times."""
+    found = np.sort(np.concatenate(held))
+    enough = np.ones(len(found), dtype=bool)
+    enough[least:] = found[least:] != found[:-least]
+    found = found[enough]
+    block = found >> BLOCK_BITS
+    cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    places = (found & ((1 << BLOCK_BITS) - 1)).astype(np.uint16)
+    edges = (np.append(cuts, len(found)) * places.itemsize).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(block[cuts].astype(np.int32)), pa.Array.from_buffers(
+            pa.binary(), len(cuts), [None, pa.py_buffer(edges), pa.py_buffer(places)])],
+        names=["block", "places"])
+
+
+def _occurrences(width: int, least: int) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        held, size = [], 0
+        for batch in batches:
+            for _, _, _, buckets in _cut(batch, width):
+                held += [b[b >= 0].astype(np.uint32) for b in buckets]
+                size += sum(map(len, held[-len(buckets):]))
+                if size >= HELD:
+                    yield _packed(held, least)
+                    held, size = [], 0
+        if size:
+            yield _packed(held, least)
+        w.release_memory()
+    return run
+
+
+def _frequent(least: int) -> Callable[[Batches], Batches]:
+    """Bits of each block: whether a bucket holds ``least`` occurrences."""
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            bits = []
+            for places in batch.column("places"):
+                found = np.frombuffer(b"".join(p.as_py() for p in places), dtype=np.uint16)
+                bits.append(np.packbits(np.bincount(found, minlength=1 << BLOCK_BITS) >= least,
+                                        bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(bits, pa.binary())],
+                                             names=["block", "bits"])
+    return run
+
+
+def _lead(width: int, often: Broadcast | None) -> Callable[[Batches], Batches]:
+    """Distinct windows of each block of texts with their number ``f``."""
+    names = [f"w{k + 1}" for k in range(width)]
 
-def _buckets(width: int) -> list[Column]:
-    """Per order from 2 the bucket of a window's first words; NULL if it has fewer."""
-    return [F.when(F.col(f"w{k}").isNotNull(), F.shiftrightunsigned(
-        F.xxhash64("lang", *[f"w{i + 1}" for i in range(k)]), 64 - FILTER_BITS))
-        for k in range(2, width + 1)]
+    def run(batches: Batches) -> Batches:
+        bits = often.value if often else None
+        for batch in batches:
+            for words, langs, of, buckets in _cut(batch, width):
+                words = words.dictionary_encode()
+                code = words.indices.to_numpy()
+                columns, alive = [code], np.ones(len(code), dtype=bool)
+                for k, bucket in enumerate(buckets, 1):
+                    alive &= bucket >= 0
+                    if bits is not None:
+                        at = bucket[alive]
+                        alive[alive] = bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+                    here = np.flatnonzero(alive)
+                    column = np.full(len(code), -1, dtype=np.int32)
+                    column[here] = code[here + k]
+                    columns.append(column)
+                counted = pa.table([of, *columns], names=["lang", *names]).group_by(
+                    ["lang", *names], use_threads=False).aggregate([([], "count_all")])
+                out = [langs.take(counted["lang"].combine_chunks())]
+                for name in names:
+                    column = counted[name].to_numpy()
+                    out.append(words.dictionary.take(pa.array(column, mask=column < 0)))
+                yield pa.RecordBatch.from_arrays([*out, counted["count_all"].combine_chunks()],
+                                                 names=["lang", *names, "f"])
+        w.release_memory()
+    return run
+
+
+def _windows(docs: DataFrame, width: int, often: Broadcast | None = None) -> DataFrame:
+    """``lang, w1 .. w_width, f``: windows, NULL beyond their piece, and their number in a block."""
+    names = ", ".join(f"w{k + 1} string" for k in range(width))
+    return _texts(docs).mapInArrow(_lead(width, often), f"lang string, {names}, f long")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
+                       F.col("text").cast("string").alias("text"))
+
+
+def lead_windows(docs: DataFrame, width: int) -> DataFrame:
+    """``lang, w1 .. w_width``: one row per word, NULL columns beyond its piece."""
+    return _windows(docs, width).withColumn("f", F.explode(F.sequence(F.lit(1).cast("long"), "f"))).drop("f")
 
 
 def _without_rare(docs: DataFrame, width: int, least: int) -> DataFrame:
-    """The lead windows, each ended before the first prefix that is surely rare."""
-    windows = lead_windows(docs, width)
-    # 512 words of 64 bits in a row
-    often = (windows.select(F.explode(F.array(*_buckets(width))).alias("bucket"))
-             .where("bucket IS NOT NULL").groupBy("bucket").count().where(F.col("count") >= least)
-             .groupBy(F.shiftright("bucket", 6).alias("word"))
-             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"),
-                                           F.col("bucket").bitwiseAND(63).cast("int"))).alias("bits"))
-             .groupBy(F.shiftright("word", 9).alias("block"))
-             .agg(F.map_from_entries(F.collect_list(F.struct(
-                 F.col("word").bitwiseAND(511).cast("int"), "bits"))).alias("found")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.coalesce(
-        F.try_element_at("found", i), F.lit(0).cast("long")))
-    often = F.broadcast(stage(often.select("block", dense.alias("bits")), "frequent"))
-    marked = windows.select("*", *[b.alias(f"b{k}") for k, b in enumerate(_buckets(width), 2)])
-    kept = [F.col("w1")]
-    alive = None
-    for k in range(2, width + 1):
-        marked = marked.join(often.toDF(f"block{k}", f"bits{k}"),
-                             F.shiftright(f"b{k}", 15) == F.col(f"block{k}"), "left")
-        place = F.col(f"b{k}").bitwiseAND(32767).cast("int")
-        word = F.get(f"bits{k}", F.shiftright(place, 6))
-        here = F.call_function("shiftright", word, place.bitwiseAND(63)).bitwiseAND(1) == 1
-        alive = here if alive is None else alive & here
-        kept.append(F.when(alive, F.col(f"w{k}")).alias(f"w{k}"))
-    return marked.select("lang", *kept)
+    """The windows, each ended before the first prefix that is surely rare."""
+    blocks = (_texts(docs).mapInArrow(_occurrences(width, least), "block int, places binary")
+              .groupBy("block").agg(F.collect_list("places").alias("places"))
+              .mapInArrow(_frequent(least), "block int, bits binary"))
+    often = np.zeros((1 << FILTER_BITS - BLOCK_BITS, (1 << BLOCK_BITS) // 8), dtype=np.uint8)
+    for block, bits in blocks.collect():   # 16 MB at 27 bits, whatever the corpus
+        often[block] = np.frombuffer(bits, dtype=np.uint8)
+    return _windows(docs, width, docs.sparkSession.sparkContext.broadcast(often.reshape(-1)))
 
 
 def phrase_counts(docs: DataFrame, width: int = 3, least: int = 10) -> DataFrame:
@@ -102,7 +213,7 @@ def phrase_counts(docs: DataFrame, width: int = 3, least: int = 10) -> DataFrame
     The row of size 0 holds the number of all words of its language.
     """
     names = [f"w{k + 1}" for k in range(width)]
-    longest = _without_rare(docs, width, least).groupBy("lang", *names).agg(F.count("*").alias("f"))
+    longest = _without_rare(docs, width, least).groupBy("lang", *names).agg(F.sum("f").alias("f"))
     rolled = longest.rollup("lang", *names).agg(F.sum("f").alias("f"),
                                                 F.grouping_id().alias("level"))
     # grouping_id has a bit for each column that was summed away

@@ -82,3 +82,40 @@ def test_empty_table_and_clashing_columns(spark):
     assert collocations(empty).collect() == []
     docs = spark.createDataFrame([("a b", "en", 1, 2, "z")] * 10, "text string, lang string, w1 long, f long, words string")
     assert [tuple(r)[:4] for r in collocations(docs).collect()] == [("en", 1, "a b", 10)]
+
+
+def test_windows_leave_their_block_counted(spark):
+    """Equal windows of one block of texts are one row, not one row per word."""
+    from funnelkit.llm.collocations import _without_rare
+    docs = spark.createDataFrame([(1, "en", "a B, " * 3000), (2, "en", "x.y;z")], SCHEMA).coalesce(1)
+    got = _without_rare(docs, 3, 2).collect()
+    assert len(got) < 10   # 6003 rows before
+    assert sorted(map(tuple, got), key=str) == sorted([("en", "a", "b", None, 3000), ("en", "b", None, None, 3000)]
+                                                      + [("en", x, None, None, 1) for x in "xyz"], key=str)
+
+
+def test_filter_holds_over_blocks_and_tasks(monkeypatch):
+    """What a task sends in many parts, ``least`` of a bucket at most in each, counts in full."""
+    import numpy as np
+    import pyarrow as pa
+
+    from funnelkit.llm import collocations as c
+    rows = [(lang, " ".join(f"w{(i * j) % 17}" for j in range(40))) for i in range(30) for lang in ("en", "")]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)],
+                                       names=["lang", "text"])
+
+    def bits(least):
+        held = {}
+        for part in c._occurrences(3, least)(iter([batch])):
+            for block, places in zip(*part.to_pydict().values(), strict=True):
+                held.setdefault(block, []).append(places)
+        table = pa.RecordBatch.from_pydict({"block": pa.array(held, pa.int32()),
+                                            "places": pa.array(held.values(), pa.list_(pa.binary()))})
+        return {block: b for out in c._frequent(least)(iter([table]))
+                for block, b in zip(*out.to_pydict().values(), strict=True)}, held
+    whole, one = bits(10)
+    monkeypatch.setattr(c, "HELD", 50)
+    monkeypatch.setattr(c, "TEXT_BYTES", 200)
+    parts, many = bits(10)
+    assert parts == whole and any(np.frombuffer(b, np.uint8).any() for b in whole.values())
+    assert sum(map(len, many.values())) > sum(map(len, one.values()))
